@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from array import array
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,50 +76,53 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A full stop or comma between an ASCII letter and white space is a pre-token of its own.
-_POINT = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
-
-
 def chunks(text: bytes) -> list[bytes]:
-    """Pre-tokens of a text for the word BPE: runs without ASCII white space, a final point or comma split off.
+    """Pre-tokens of a text for the word BPE: runs without ASCII white space.
 
     The tokenizer drops white space and no piece crosses it, so a text's ids are those of its chunks, joined.
     """
-    return _POINT.sub(rb" \1", text).split()
+    return text.split()
 
 
-class WordBpe:
-    """Ids or counts of chunks by the tokenizers library, each chunk encoded once while it stays cached."""
+class WordBpe(dict):
+    """Chunk: its ids (bytes of little-endian uint32), or how many, by the tokenizers library.
+
+    A chunk is encoded when it is first asked for.  The library lower-cases, so a chunk with A-Z takes what
+    its lower-case form has (unless it may hold a special string, whose case counts); a final point or comma
+    after a letter is always a piece of its own.  At `most` entries the map starts anew.
+    """
 
-    def __init__(self, path: str, most: int = 400_000, counts: bool = False) -> None:
+    def __init__(self, path: str, counts: bool = False, most: int = 600_000) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.most, self.counts, self.known = most, counts, {}
-
-    def learn(self, wanted: Iterable[bytes]) -> None:
-        """Cache the chunks' ids (as bytes of little-endian uint32) or their count."""
-        import numpy as np
-
-        new = [x for x in wanted if x not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            found = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            if self.counts:
-                self.known.update(zip(some, map(len, found)))
-            else:
-                self.known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(some, found))
-
-    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """For each text its ids as little-endian uint32."""
-        split = [chunks(x) if x else [] for x in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.most, self.counts = most, counts
+
+    def encoded(self, chunk: bytes):
+        ids = self.library.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return len(ids) if self.counts else array("I", ids).tobytes()
+
+    def __missing__(self, chunk: bytes):
+        if len(self) >= self.most:
+            self.clear()
+        if len(chunk) > 1 and chunk[-1] in b".," and chunk[-2:-1].isalpha():
+            found = self[chunk[:-1]] + self[chunk[-1:]]
+        elif (low := chunk.lower()) != chunk and b"<|" not in chunk:
+            found = self[low]
+        else:
+            found = self.encoded(chunk)
+        self[chunk] = found
+        return found
+
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def word_bpe(path: str, counts: bool = False) -> WordBpe:
+    """One map for all tasks that a Python worker runs."""
+    return WordBpe(path, counts)

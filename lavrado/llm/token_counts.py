@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WordBpe, chunks, documents, small_batches, staged, utf8
+from .shared import chunks, documents, small_batches, staged, utf8, word_bpe
 
 
 def _summed(text: str, flush: int = 200_000) -> Callable:
@@ -42,13 +42,10 @@ def _pieces(path: str) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = None
         for batch in batches:
-            bpe = bpe or WordBpe(path, counts=True)
+            bpe = word_bpe(path, counts=True)
             words = batch.column("pretoken").to_pylist()
-            bpe.known.clear()  # they are distinct
-            bpe.learn(words)
-            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array([bpe.known[w] for w in words], pa.int64())], ["pretoken", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array([bpe[w] for w in words], pa.int64())], ["pretoken", "n", "pieces"])
 
     return run
 

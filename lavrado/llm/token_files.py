@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WordBpe, documents, dropped, fresh_path, partitions, small_batches, staged, utf8
+from .shared import documents, dropped, fresh_path, partitions, small_batches, staged, utf8, word_bpe
 
 #: Bits of the shared frequencies' total; states are 64 bits wide and give off 32 at a time.
 BITS = 20
@@ -146,10 +146,10 @@ def _ids(path: str, end: int | None) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        bpe, last = None, b"" if end is None else np.array([end], dtype="<u4").tobytes()
+        last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            bpe = bpe or WordBpe(path)
-            found = [x + last for x in bpe.ids(utf8(batch.column("text")))]
+            bpe = word_bpe(path)
+            found = [(bpe.ids(x) if x else b"") + last for x in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_narrow(x) for x in found], pa.binary())], ["doc_id", "ids"])
 
     return run
