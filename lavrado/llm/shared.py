@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,7 +90,7 @@ class WordBpe(dict):
 
     A chunk is encoded when it is first asked for.  The library lower-cases, so a chunk with A-Z takes what
     its lower-case form has (unless it may hold a special string, whose case counts); a final point or comma
-    after a letter is always a piece of its own.  At `most` entries the map starts anew.
+    after a letter is always a piece of its own.  At `most` entries the later half goes.
     """
 
     def __init__(self, path: str, counts: bool = False, most: int = 600_000) -> None:
@@ -100,15 +101,24 @@ class WordBpe(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.most, self.counts = most, counts
+        self.most, self.counts, self.model = most, counts, self.library.model
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = iter(range(256, 512))
+        self.byte_names = {b: b if b in plain else next(other) for b in range(256)}
 
     def encoded(self, chunk: bytes):
-        ids = self.library.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+        word = chunk.decode("utf-8", "replace")
+        if word.isalpha() and max(word) < "\u0250" and word == word.lower():  # one composed lower-case word: the library's normaliser and splitter leave it as it is
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else chunk.decode("latin-1").translate(self.byte_names))]
+        else:
+            ids = self.library.encode(word, add_special_tokens=False).ids
         return len(ids) if self.counts else array("I", ids).tobytes()
 
     def __missing__(self, chunk: bytes):
         if len(self) >= self.most:
+            first = list(islice(self.items(), self.most // 2))  # the frequent ones came early
             self.clear()
+            self.update(first)
         if len(chunk) > 1 and chunk[-1] in b".," and chunk[-2:-1].isalpha():
             found = self[chunk[:-1]] + self[chunk[-1:]]
         elif (low := chunk.lower()) != chunk and b"<|" not in chunk:
