@@ -7,6 +7,8 @@ import importlib
 #: Query name: the module that has it.
 MODULES = {
     "op2_token_counts": "token_counts",
+    "op3_near_dedup": "near_dedup",
+    "op4_decontaminate": "decontaminate",
     "op5_token_files": "token_files",
     "op7_byte_bpe": "tiktoken_codec",
 }
