@@ -10,6 +10,7 @@ MODULES = {
     "op3_near_dedup": "near_dedup",
     "op4_decontaminate": "decontaminate",
     "op5_token_files": "token_files",
+    "op8_suffix_dedup": "suffix_dedup",
     "op7_byte_bpe": "tiktoken_codec",
 }
 
