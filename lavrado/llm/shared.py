@@ -45,6 +45,7 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once and its lineage ends there."""
     spark = df.sparkSession
     at = fresh_path(spark, label)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # the write is the shuffles' only reader
     df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -3,7 +3,7 @@
 Plan: (1) where the text is, the smallest hash of ANCHOR bytes in every `length`-byte window is an anchor,
 so equal windows have the same anchor at the same place in them; texts are known by their digest, equal
 texts are one source; (2) anchors that occur once are dropped by a count; (3) the texts that have other
-anchors give each anchor's context, the stretch of all windows that it can stand for; equal contexts are
+anchors give each anchor's context, the stretch of the windows that have it; equal contexts are
 counted, not repeated; (4) anchors with several contexts go to shards: in a shard, a suffix array of the
 contexts is built by Larsson-Sadakane refinement, Kasai's method gives common prefixes, and windows of one
 anchor and place with a common prefix of `length` are repeated.  An anchor with more than SHARD contexts is
@@ -23,16 +23,17 @@ from .shared import documents, partitions, small_batches, staged, utf8
 
 ANCHOR = 32
 #: Contexts of one anchor in one shard, and bytes of contexts that are sorted at once.
-SHARD, TOGETHER = 4096, 4 << 20
+SHARD, TOGETHER = 4096, 1 << 20
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors of texts that lie in data one after the other: the smallest hash, the
-    rightmost of equal ones, of the k-byte strings in each window of `length` bytes."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of texts that lie in data one after the other: the k-byte string of the smallest hash, the
+    rightmost of equal ones, in each window of `length` bytes.  For each: where the windows that have it
+    start, the bytes that they span, its place and its hash."""
     h = hashing.rolling(data, k)
     w = length - k + 1
     if len(h) < w:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
     n = len(h)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
     full = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -45,10 +46,12 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     long = ends - starts >= length
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - length + 1, -1)
-    own = least[np.cumsum(inside[:-1]) > 0]
-    own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
-    at = np.unique((np.uint64(0xFFFFFFFF) - (own & np.uint64(0xFFFFFFFF))).astype(np.int64))
-    return at, h[at]
+    first = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    own = least[first]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (first[1:] != first[:-1] + 1)]) if len(own) else np.zeros(0, dtype=bool)
+    heads = np.flatnonzero(new)
+    at = (np.uint64(0xFFFFFFFF) - (own[heads] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    return first[heads], np.diff(np.append(heads, len(own))) + length - 1, at, h[at]
 
 
 def _anchored(length: int, k: int) -> Callable:
@@ -59,57 +62,58 @@ def _anchored(length: int, k: int) -> Callable:
             texts = [x or b"" for x in utf8(batch.column("text"))]
             ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
             starts = ends - np.array([len(x) for x in texts], dtype=np.int64)
-            at, h = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), starts, ends, length, k)
-            owner = np.searchsorted(ends, at, side="right")
+            first, size, at, h = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), starts, ends, length, k)
+            owner = np.searchsorted(ends, first, side="right")
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-            offs = (at - starts[owner]).astype(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (h.astype(np.int64), offs)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([len(x) for x in texts], pa.int64()), *lists], ["doc_id", "digest", "sha256", "n_bytes", "anchors", "places"])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (h.astype(np.int64), first - starts[owner], (at - first).astype(np.int32), size.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([len(x) for x in texts], pa.int64()), *lists],
+                ["doc_id", "digest", "sha256", "n_bytes", "anchor", "start", "before", "size"],
+            )
 
     return run
 
 
-def _contexts(length: int, k: int) -> Callable:
-    reach = length - k
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for digest, x, found in zip(batch.column("digest").to_pylist(), utf8(batch.column("text")), batch.column("found").to_pylist()):
-                for f in found:
-                    p = f["place"]
-                    before, context = min(p, reach), x[max(0, p - reach) : p + length]
-                    for col, v in zip(out, (digest, f["anchor"], hashlib.md5(b"%d " % before + context).digest(), context, before, max(0, p - reach))):
-                        col.append(v)
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["digest", "anchor", "context_id", "context", "before", "start"])
+def _contexts(batches: Iterator) -> Iterator:
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        out: list[list] = [[] for _ in range(6)]
+        for digest, x, found in zip(batch.column("digest").to_pylist(), utf8(batch.column("text")), batch.column("found").to_pylist()):
+            for f in found:
+                context = x[f["start"] : f["start"] + f["size"]]
+                for col, v in zip(out, (digest, f["anchor"], hashlib.md5(b"%d " % f["before"] + context).digest(), context, f["before"], f["start"])):
+                    col.append(v)
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["digest", "anchor", "context_id", "context", "before", "start"])
 
 
 def suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of the strings data[start:end], ordered on at least their first `depth` bytes, and their ranks.
 
-    Larsson-Sadakane refinement: suffixes start ordered by eight bytes; each round, those that still share
+    Larsson-Sadakane refinement: suffixes start ordered by what a word holds; each round, those that still share
     a rank are ordered by the rank of the suffix as far on as the order already reaches, which doubles it.
     A suffix does not go on past its string.
     """
     n = len(data)
     end = np.repeat(ends, ends - starts)
     place = np.arange(n, dtype=np.int64)
+    letters = np.unique(data)
+    code = np.zeros(256, dtype=np.uint64)
+    code[letters] = np.arange(1, len(letters) + 1, dtype=np.uint64)
+    bits = len(letters).bit_length()
+    h = 63 // bits
+    padded = np.concatenate([code[data], np.zeros(h, dtype=np.uint64)])
+    left = end - place
     key = np.zeros(n, dtype=np.uint64)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    for j in range(7):
-        key = (key << np.uint64(9)) | np.where(place + j < end, padded[j : n + j] + np.uint64(1), np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    for j in range(h):
+        key = (key << np.uint64(bits)) | np.where(left > j, padded[j : n + j], np.uint64(0))
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = head
-    h = 7
     while h < depth:
         shared = ~new
         shared[:-1] |= ~new[1:]
@@ -119,45 +123,57 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
         own = order[spots]
         on = own + h
         second = np.where(on < end[own], rank[np.minimum(on, n - 1)] + 1, 0)
-        sub = np.lexsort((second, rank[own]))
-        own, second = own[sub], second[sub]
+        both = rank[own] * (n + 1) + second
+        sub = np.argsort(both)
+        own, both = own[sub], both[sub]
         order[spots] = own
-        first = rank[own]
-        fresh = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.concatenate([[True], both[1:] != both[:-1]])
         new[spots] = fresh
         rank[own] = spots[np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))]
         h *= 2
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    spots = np.flatnonzero(tied)
+    order[spots] = order[spots][np.argsort(rank[order[spots]] * (n + 1) + order[spots])]  # equal suffixes by place
     return order, rank
 
 
 def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Kasai: for each place of the order, the bytes (at most `most`) its suffix shares with the one before.
+    """Kasai: for each place of the order, the bytes (at most `most`) its suffix shares with the one before;
+    0 for suffixes of fewer than `most` bytes.
 
     From one suffix to the next of its string the number falls by one at most, so each string is walked
-    once; all strings are walked side by side.
+    once; all strings are walked side by side, eight bytes at a time and then one.
     """
     n = len(data)
     end = np.repeat(ends, ends - starts)
     at = np.empty(n, dtype=np.int64)
     at[order] = np.arange(n)
     before = np.where(at > 0, order[np.maximum(at - 1, 0)], -1)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, dtype=np.uint8)]), 8)[:n].copy().view(np.uint64).ravel()
     out = np.zeros(n, dtype=np.int64)
-    lanes = np.flatnonzero(ends > starts)
-    place, shared = starts[lanes].copy(), np.zeros(len(lanes), dtype=np.int64)
-    while len(lanes):
+    lanes = np.flatnonzero(ends - starts >= most)
+    place, stop, shared = starts[lanes].copy(), ends[lanes] - most, np.zeros(len(lanes), dtype=np.int64)
+    while len(place):
         other = before[place]
-        live = np.flatnonzero(other >= 0)
-        room = np.minimum(np.minimum(end[place] - place, np.where(other >= 0, end[other] - other, 0)), most)
+        room = np.where(other >= 0, np.minimum(end[other] - other, most), 0)
+        shared = np.minimum(shared, room)
+        live = np.flatnonzero(shared + 8 <= room)
+        while len(live):
+            live = live[eight[place[live] + shared[live]] == eight[other[live] + shared[live]]]
+            shared[live] += 8
+            live = live[shared[live] + 8 <= room[live]]
+        live = np.flatnonzero(shared < room)
         while len(live):
-            live = live[shared[live] < room[live]]
             live = live[data[place[live] + shared[live]] == data[other[live] + shared[live]]]
             shared[live] += 1
-        shared = np.where(other >= 0, np.minimum(shared, room), 0)
+            live = live[shared[live] < room[live]]
         out[at[place]] = shared
-        place += 1
+        place = place + 1
         shared = np.maximum(shared - 1, 0)
-        go = place < ends[lanes]
-        lanes, place, shared = lanes[go], place[go], shared[go]
+        go = place <= stop
+        if not go.all():
+            place, stop, shared = place[go], stop[go], shared[go]
     return out
 
 
@@ -272,28 +288,31 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     spark = df.sparkSession
     small_batches(spark)
     base = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = staged(base.mapInArrow(_anchored(length, k), "doc_id long, digest binary, sha256 string, n_bytes long, anchors array<bigint>, places array<bigint>"), "anchors")
+    rows = staged(base.mapInArrow(_anchored(length, k), "doc_id long, digest binary, sha256 string, n_bytes long, anchor array<bigint>, start array<bigint>, before array<int>, size array<int>"), "anchors")
     copies = staged(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "copies")
     # One row for each distinct text (identical rows stay together; they are copies anyway).
-    source = rows.where(F.size("anchors") > 0).select("digest", "doc_id", "anchors", "places").join(copies, ["digest", "doc_id"], "left_semi")
-    recurring = source.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
-    each = source.select("digest", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("digest", "doc_id", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    found = each.join(recurring, "anchor").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
+    source = rows.where(F.size("anchor") > 0).select("digest", "doc_id", "anchor", "start", "before", "size").join(copies, ["digest", "doc_id"], "left_semi")
+    recurring = source.select(F.explode("anchor").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
+    each = source.select("digest", "doc_id", F.inline(F.arrays_zip("anchor", "start", "before", "size")))
+    found = each.join(recurring, "anchor").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("anchor", "start", "before", "size")).alias("found"))
     keyed = base.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = staged(keyed.join(found, ["digest", "doc_id"]), "texts")
-    cut_out = texts.select("digest", "text", "found").mapInArrow(_contexts(length, k), "digest binary, anchor long, context_id binary, context binary, before int, start long")
+    cut_out = texts.select("digest", "text", "found").mapInArrow(_contexts, "digest binary, anchor long, context_id binary, context binary, before int, start long")
     contexts = staged(cut_out, "contexts")
-    distinct = contexts.groupBy("anchor", "context_id").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context"), F.min("before").alias("before"))
-    distinct = staged(distinct, "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).where("m > 1 or most > 1").select("anchor", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
-    salted = distinct.join(sizes, "anchor").withColumn("salt", F.pmod(F.xxhash64("context_id"), F.col("shards")).cast("int"))
+    met_by = contexts.groupBy("anchor", "context_id").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context"), F.min("before").alias("before"))
+    distinct = staged(met_by, "distinct")
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
+    # An anchor's only context, met several times, is repeated as a whole; the others are sorted.
+    alone = distinct.select("anchor", "context_id", F.length("context").cast("long").alias("size")).join(sizes.where("m = 1 and most > 1").select("anchor"), "anchor").select("anchor", "context_id", F.array(F.lit(0).cast("long"), "size").alias("spans"))
+    several = sizes.where("m > 1").select("anchor", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
+    salted = distinct.join(several, "anchor").withColumn("salt", F.pmod(F.xxhash64("context_id"), F.col("shards")).cast("int"))
     spread = salted.repartition(partitions(spark), "anchor", "salt").sortWithinPartitions("anchor", "salt", "context_id")
     sorted_ = staged(spread.select("anchor", "salt", "shards", "context_id", "context", "before", "n").mapInArrow(_sharded(length), "anchor long, context_id binary, before int, spans array<bigint>, lone array<struct<place:int,window:binary>>"), "sorted")
     lone = sorted_.where(F.size("lone") > 0).select("anchor", "context_id", "before", F.explode("lone").alias("x")).select("anchor", "context_id", "before", F.col("x.place").alias("place"), F.col("x.window").alias("window"))
     met = lone.groupBy("anchor", "place", "window").count().where("count > 1").select("anchor", "place", "window")
     # Besides windows without a partner, each shard names one of every window that has one, for the others to meet.
     late = lone.join(met, ["anchor", "place", "window"]).select("anchor", "context_id", F.array((F.col("place") + F.col("before")).cast("long"), (F.col("place") + F.col("before") + length).cast("long")).alias("spans"))
-    marked = sorted_.where(F.size("spans") > 0).select("anchor", "context_id", "spans").unionByName(late)
+    marked = sorted_.where(F.size("spans") > 0).select("anchor", "context_id", "spans").unionByName(late).unionByName(alone)
     placed = contexts.select("digest", "anchor", "context_id", "start").join(marked, ["anchor", "context_id"])
     spans = placed.groupBy("digest").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans"))
     return rows.join(copies.select("digest", "copies"), "digest").withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63)))), texts.select("digest", "text"), spans
