@@ -6,18 +6,27 @@ import importlib
 
 #: Query name: the module that has it.
 MODULES = {
+    "op1_licence_scan": "licences",
     "op2_token_counts": "token_counts",
     "op3_near_dedup": "near_dedup",
     "op4_decontaminate": "decontaminate",
     "op5_token_files": "token_files",
-    "op8_suffix_dedup": "suffix_dedup",
+    "op6_language_id": "language_id",
     "op7_byte_bpe": "tiktoken_codec",
+    "op8_suffix_dedup": "suffix_dedup",
+    "op9_toxicity": "toxicity",
+    "op10_media": "media",
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    import corpus_pipeline
+
+    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licences import sql
+
+    return {"op1_licence_scan": sql()}
