@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import documents, small_batches, table, utf8
@@ -135,7 +136,7 @@ def without_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
     """df with the hit words cut from its texts; what lies between two words of a span goes with them."""
 
     @F.pandas_udf("string")
-    def cut(texts: "pd.Series", spans: "pd.Series") -> "pd.Series":  # noqa: F821
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def one(x, s):
             if x is None or not len(s):
                 return x
@@ -146,8 +147,6 @@ def without_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
                 at = places[b - 1][1]
             return b"".join([*out, raw[at:]]).decode()
 
-        import pandas as pd
-
         return pd.Series([one(x, s) for x, s in zip(texts, spans)])
 
     marked = contamination(df, benchmark, text=text, **options)

@@ -100,11 +100,11 @@ def sql() -> str:
         last = f"r{k}"
     return f"""WITH k AS (SELECT MAP([{keys}], [{values}]) AS m),
 s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {end}, chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS parts FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(parts, x -> k.m[trim(x)]), x -> x IS NOT NULL) AS ids FROM s, k),
-r0 AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, x -> '<' || x || '>'), ''), '') AS l, CAST([] AS VARCHAR[]) AS names FROM i),
+i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: k.m[trim(x)]), lambda x: x IS NOT NULL) AS ids FROM s, k),
+r0 AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS l, CAST([] AS VARCHAR[]) AS names FROM i),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ';'), '') AS sentence_ids,
- coalesce(array_to_string(list_transform(list_filter(list_zip(names, range(1, len(names) + 1)), x -> list_position(names, x[1]) = x[2]), x -> x[1]), ';'), '') AS licences,
+ coalesce(array_to_string(list_transform(list_filter(list_zip(names, range(1, len(names) + 1)), lambda x: list_position(names, x[1]) = x[2]), lambda x: x[1]), ';'), '') AS licences,
  CAST(length(regexp_replace(l, '[^<]', '', 'g')) AS BIGINT) AS n_unmatched FROM {last}"""
 
 

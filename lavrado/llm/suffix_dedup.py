@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing
@@ -343,9 +344,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     rows, _, spans = repeats(df, doc_id, text, length)
 
     @F.pandas_udf("string")
-    def cut(texts: "pd.Series", spans: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([x if x is None or s is None else kept_bytes(x.encode(), list(s))[0].decode("utf-8", "ignore") for x, s in zip(texts, spans)], dtype=object)
 
     whole = F.array(F.lit(0).cast("long"), F.col("n_bytes"))

@@ -10,6 +10,7 @@ import base64
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import documents, small_batches
@@ -81,7 +82,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ou
     small_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def ids(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = encoding(path, pattern)
         for some in texts:
             yield some.map(lambda x: encode(codec, x) if x else [])
@@ -93,7 +94,7 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
     """df with the raw bytes of an array<int> column; a null or empty array gives empty bytes."""
 
     @F.pandas_udf("binary")
-    def back(rows: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def back(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = encoding(path, pattern)
         for some in rows:
             yield some.map(lambda x: codec.decode_bytes([int(i) for i in x]) if x is not None else b"")
