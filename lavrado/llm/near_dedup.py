@@ -175,8 +175,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     nodes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes", "lz4")
     bands = nodes.select("node", "n_shingles", "signature").mapInArrow(_banded, "bucket long, node long, n_shingles long")
     order = F.xxhash64("node")
-    pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), "node", "n_shingles")).alias("p")).where("size > 1")
-    members = staged(bands.join(pivots, "bucket").select("bucket", "node", "n_shingles", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("pivot_n")), "buckets")
+    pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), "node", "n_shingles")).alias("p")).where("size > 1").select("bucket", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("pivot_n"))
+    pivots = staged(pivots, "pivots")  # so that the join has shuffles of its own, of which Spark can split a large bucket's
+    members = staged(bands.join(pivots, "bucket").select("bucket", "node", "n_shingles", "pivot", "pivot_n"), "buckets")
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     steps = least_matches(percent / 100, miss)
@@ -196,7 +197,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     grouped = components(first)
     named = staged(members.select("bucket", "node", "n_shingles").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    open_ = staged(named.join(mixed, "bucket", "left_semi"), "open")
+    open_ = staged(named.join(staged(mixed, "mixed"), "bucket", "left_semi"), "open")
     l, r = open_.alias("l"), open_.alias("r")  # noqa: E741
     across = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & close(F.col("l.n_shingles"), F.col("r.n_shingles")))
     rest = across.select(*ordered(F.col("l.node"), F.col("r.node"))).distinct().join(near, ["a", "b"], "left_anti")

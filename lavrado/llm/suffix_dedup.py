@@ -293,7 +293,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     copies = staged(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "copies")
     # One row for each distinct text (identical rows stay together; they are copies anyway).
     source = rows.where(F.size("anchor") > 0).select("digest", "doc_id", "anchor", "start", "before", "size").join(copies, ["digest", "doc_id"], "left_semi")
-    recurring = source.select(F.explode("anchor").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join below has shuffles of its own, of which Spark can split a large key's.
+    recurring = staged(source.select(F.explode("anchor").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
     each = source.select("digest", "doc_id", F.inline(F.arrays_zip("anchor", "start", "before", "size")))
     found = each.join(recurring, "anchor").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("anchor", "start", "before", "size")).alias("found"))
     keyed = base.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
