@@ -102,14 +102,8 @@ def _scan(windows) -> Callable:
     return run
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, most: int = MOST_BYTES) -> DataFrame:
-    """df with contamination: struct<n_words, n_hit, spans, items, contaminated>.
-
-    spans: merged hit word places, start and end by turns; items: the ids, as sorted strings, of items of
-    which a window occurs.  An item of fewer than `size` words, but not none, is one window.  Null and empty
-    texts have no words; items with a null id or no words have no windows; rows of one item_id are one item.
-    Extra columns are kept as they are.
-    """
+def _marked(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", size: int = 13, most: int = MOST_BYTES) -> DataFrame:
+    """text, row (df's other columns) and contamination."""
     spark = df.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).where("i is not null and t is not null")
@@ -124,12 +118,28 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda n, x: n + x)
     found = out.withColumn("n_hit", hit)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in df.columns], F.struct("n_words", "n_hit", "spans", "items", bad.alias("contaminated")).alias("contamination"))
+    return found.select("text", "row", F.struct("n_words", "n_hit", "spans", "items", bad.alias("contaminated")).alias("contamination"))
+
+
+def _own(columns: list[str], text: str) -> list:
+    return [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in columns]
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """df with contamination: struct<n_words, n_hit, spans, items, contaminated>.
+
+    spans: merged hit word places, start and end by turns; items: the ids, as sorted strings, of items of
+    which a window occurs.  An item of fewer than `size` words, but not none, is one window.  Null and empty
+    texts have no words; items with a null id or no words have no windows; rows of one item_id are one item.
+    Extra columns are kept as they are; a column named contamination is replaced.
+    """
+    keep = [c for c in df.columns if c != "contamination"]
+    return _marked(df, benchmark, text, **options).select(*_own(keep, text), "contamination")
 
 
-def without_documents(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """df without its contaminated rows."""
-    return contamination(df, benchmark, **options).where("not contamination.contaminated").select(*[F.col(f"`{c}`") for c in df.columns])
+def without_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """df without its contaminated rows, with all of its columns."""
+    return _marked(df, benchmark, text, **options).where("not contamination.contaminated").select(*_own(df.columns, text))
 
 
 def without_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -149,8 +159,8 @@ def without_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
 
         return pd.Series([one(x, s) for x, s in zip(texts, spans)])
 
-    marked = contamination(df, benchmark, text=text, **options)
-    return marked.withColumn(text, cut(F.col(text), F.col("contamination.spans"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    marked = _marked(df, benchmark, text, **options)
+    return marked.withColumn("text", cut(F.col("text"), F.col("contamination.spans"))).select(*_own(df.columns, text))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
