@@ -2,11 +2,14 @@
 
 Plan: (1) where the text is: word shingles, their minima under HASHES functions, and a digest of the word
 sequence; (2) equal sequences become one node, by a shuffle of digests; (3) the signature's bands give
-buckets; in each bucket every node is paired with one pivot; (4) pairs are compared signature batch by
-signature batch and dropped once a similarity of the threshold or more is less likely than `miss`;
-survivors are compared on their full shingle sets; (5) links give components; (6) in buckets whose nodes
-are still in different components, all pairs across components follow (4), so no candidate is left
-untried, while a group of near copies costs pairs in proportion to its size; (7) components of all links.
+buckets; in each bucket every node is paired with one pivot, the node that shares most buckets with others;
+(4) pairs are compared signature batch by signature batch and dropped once a similarity of the threshold or
+more is less likely than `miss`; survivors are compared on their full shingle sets; (5) links give
+components; (6) in buckets whose nodes are still in different components, the shingles of the nodes are
+counted: one that only one component has can't be shared, one that more than COMMON nodes have is common.
+A pair that isn't linked yet needs either enough common shingles on both sides or a shared uncommon one
+among the least frequent ones of both (a prefix index); only such pairs follow (4).  All bounds hold for
+every pair of the threshold's similarity, so no candidate is left untried; (7) components of all links.
 No bucket is collected: pivots are an aggregate, pairs are joins that Spark splits when a bucket is large.
 """
 
@@ -17,7 +20,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import hashing
 from .components import components
@@ -28,6 +31,8 @@ BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 #: Hashes compared before each decision to go on.
 BATCH = 36
+#: Nodes of open buckets that have a shingle, above which it is common.
+COMMON = 64
 
 
 def word_shingles(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
@@ -106,6 +111,23 @@ def _banded(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(n, BANDS))], ["bucket", "node", "n_shingles"])
 
 
+def _shingled(k: int) -> Callable:
+    """Of each text its shingles' hashes; `piece` tells the texts of one doc_id apart."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [b" ".join(x.lower().split()) if x else b"" for x in utf8(batch.column("text"))]
+            sets = list(_shingle_hashes(texts, k)) if texts else []
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            piece = [int.from_bytes(hashlib.md5(x).digest()[:8], "little", signed=True) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), pa.array(piece, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "component", "piece", "n", "shingles"])
+
+    return run
+
+
 def least_matches(threshold: float, miss: float, batch: int = BATCH, hashes: int = HASHES) -> list[tuple[int, int]]:
     """(hashes seen, least matches to go on) after each batch: below it, the posterior of a similarity of at
     least `threshold`, from a uniform prior, is under `miss`."""
@@ -158,6 +180,37 @@ def _linked(k: int, percent: int) -> Callable:
     return run
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, with `main`, the component of most of a bucket's nodes."""
+    counts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = staged(counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "component")).alias("x")).where("k > 1").select("bucket", F.col("x.component").alias("main")), "mixed")
+    return staged(named.join(mixed, "bucket"), "open")
+
+
+def _shared(open_: DataFrame, base: DataFrame, k: int, percent: int, close: Callable) -> tuple[DataFrame, DataFrame]:
+    """(node, common) of the open nodes that may have a link to another component, common being the number of
+    their common shingles; and the pairs (a, b) that share an uncommon shingle of their prefixes."""
+    nodes = staged(open_.select(F.col("node").alias("doc_id"), "component").distinct(), "open_nodes")
+    texts = base.join(nodes, "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "component", "text")
+    rows = staged(texts.mapInArrow(_shingled(k), "node long, component long, piece long, n long, shingles array<bigint>"), "shingles", "lz4")
+    each = rows.select("node", "component", "piece", "n", F.explode("shingles").alias("shingle"))
+    known = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle", "df"), "known")
+    marked = staged(each.join(known, "shingle"), "marked", "lz4")
+    common = F.col("df") > COMMON
+    counts = marked.groupBy("node", "piece", "n").agg(F.sum(common.cast("long")).alias("common"), F.sum((~common).cast("long")).alias("rare"))
+    alive = staged(counts.where(100 * (F.col("common") + F.col("rare")) >= percent * F.col("n")), "alive")
+    # A pair shares `percent` % of the larger set at least, and of that no more common shingles than either has.
+    least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common"))
+    place = F.row_number().over(Window.partitionBy("node", "piece").orderBy("df", "shingle"))
+    prefix = marked.where(~common).join(alive, ["node", "piece", "n"]).withColumn("place", place).where(F.col("place") <= F.col("rare") - least + 1)
+    index = staged(prefix.select("shingle", "node", "component", "n", "common", "rare"), "index")
+    l, r = index.alias("l"), index.alias("r")  # noqa: E741
+    enough = (100 + percent) * (F.least(F.col("l.common"), F.col("r.common")) + F.least(F.col("l.rare"), F.col("r.rare"))) >= percent * (F.col("l.n") + F.col("r.n"))
+    met = l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") < F.col("r.component")) & close(F.col("l.n"), F.col("r.n")) & enough)
+    pairs = met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    return alive.groupBy("node").agg(F.max("common").alias("common")), pairs
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df.
 
@@ -175,9 +228,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     nodes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes", "lz4")
     bands = nodes.select("node", "n_shingles", "signature").mapInArrow(_banded, "bucket long, node long, n_shingles long")
     order = F.xxhash64("node")
-    pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), "node", "n_shingles")).alias("p")).where("size > 1").select("bucket", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("pivot_n"))
-    pivots = staged(pivots, "pivots")  # so that the join has shuffles of its own, of which Spark can split a large bucket's
-    members = staged(bands.join(pivots, "bucket").select("bucket", "node", "n_shingles", "pivot", "pivot_n"), "buckets")
+    sizes = staged(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # written, so that the join has shuffles of its own, of which Spark can split a large bucket's
+    members = staged(bands.join(sizes, "bucket").select("bucket", "node", "n_shingles", "size"), "buckets")
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    pivots = staged(members.select("bucket", "node", "n_shingles").join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", order.alias("o"), "node", "n_shingles")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("pivot_n")), "pivots")
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     steps = least_matches(percent / 100, miss)
@@ -192,15 +246,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         return with_text.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, percent), "a long, b long").distinct()
 
     # A doc_id with several texts is one node with several rows: it joins its own classes by itself.
-    near = members.where((F.col("node") != F.col("pivot")) & close(F.col("n_shingles"), F.col("pivot_n"))).select(*ordered(F.col("node"), F.col("pivot"))).distinct()
+    near = members.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & close(F.col("n_shingles"), F.col("pivot_n"))).select(*ordered(F.col("node"), F.col("pivot"))).distinct()
     first = staged(links(near), "links")
     grouped = components(first)
     named = staged(members.select("bucket", "node", "n_shingles").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    open_ = staged(named.join(staged(mixed, "mixed"), "bucket", "left_semi"), "open")
-    l, r = open_.alias("l"), open_.alias("r")  # noqa: E741
-    across = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & close(F.col("l.n_shingles"), F.col("r.n_shingles")))
-    rest = across.select(*ordered(F.col("l.node"), F.col("r.node"))).distinct().join(near, ["a", "b"], "left_anti")
+    open_ = _open(named)
+    bounds, pairs = _shared(open_, base, shingle, percent, close)
+    cores = _open(open_.select("bucket", "node", "n_shingles", "component").join(bounds, "node").where(100 * F.col("common") >= percent * F.col("n_shingles")))
+    all_ = cores.groupBy("node").agg(F.collect_set("bucket").alias("all"))
+    cores = staged(cores.join(all_, "node"), "cores")
+    l, r = cores.alias("l"), cores.where("component != main").alias("r")  # noqa: E741
+    enough = (100 + percent) * F.least(F.col("l.common"), F.col("r.common")) >= percent * (F.col("l.n_shingles") + F.col("r.n_shingles"))
+    once = (F.col("l.component") == F.col("l.main")) | (F.col("l.component") < F.col("r.component"))
+    first_met = F.col("l.bucket") == F.array_min(F.array_intersect("l.all", "r.all"))
+    across = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & once & close(F.col("l.n_shingles"), F.col("r.n_shingles")) & enough & first_met)
+    rest = across.select(*ordered(F.col("l.node"), F.col("r.node"))).union(pairs).distinct().join(near, ["a", "b"], "left_anti")
     linked = components(first.union(links(rest)))
     labels = nodes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("label"))
     named_rows = rows.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
