@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import hashing
 from .components import components
-from .shared import documents, small_batches, staged, utf8
+from .shared import documents, dropped, small_batches, staged, utf8
 
 #: A pair of similarity 0.8 shares none of BANDS bands with a probability of (1 - 0.8**ROWS)**BANDS = 6e-7.
 BANDS, ROWS = 36, 5
@@ -208,6 +208,8 @@ def _shared(open_: DataFrame, base: DataFrame, k: int, percent: int, close: Call
     enough = (100 + percent) * (F.least(F.col("l.common"), F.col("r.common")) + F.least(F.col("l.rare"), F.col("r.rare"))) >= percent * (F.col("l.n") + F.col("r.n"))
     met = l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") < F.col("r.component")) & close(F.col("l.n"), F.col("r.n")) & enough)
     pairs = met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    dropped(marked)
+    dropped(rows)
     return alive.groupBy("node").agg(F.max("common").alias("common")), pairs
 
 
@@ -226,6 +228,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = staged(base.mapInArrow(_signed(shingle), "doc_id long, digest binary, n_shingles long, signature binary"), "signatures", "lz4")
     usable = rows.where("digest is not null and doc_id is not null")
     nodes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes", "lz4")
+    wide, rows = rows, staged(rows.drop("signature"), "rows")
+    dropped(wide)
     bands = nodes.select("node", "n_shingles", "signature").mapInArrow(_banded, "bucket long, node long, n_shingles long")
     order = F.xxhash64("node")
     sizes = staged(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # written, so that the join has shuffles of its own, of which Spark can split a large bucket's
@@ -243,14 +247,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
         texts = staged(base.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
         with_text = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return with_text.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, percent), "a long, b long").distinct()
+        found = staged(with_text.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, percent), "a long, b long").distinct(), "links")
+        dropped(texts)
+        dropped(likely)
+        return found
 
     # A doc_id with several texts is one node with several rows: it joins its own classes by itself.
-    near = members.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & close(F.col("n_shingles"), F.col("pivot_n"))).select(*ordered(F.col("node"), F.col("pivot"))).distinct()
-    first = staged(links(near), "links")
+    near = staged(members.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & close(F.col("n_shingles"), F.col("pivot_n"))).select(*ordered(F.col("node"), F.col("pivot"))).distinct(), "near")
+    first = links(near)
     grouped = components(first)
     named = staged(members.select("bucket", "node", "n_shingles").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    dropped(members)
     open_ = _open(named)
+    dropped(named)
     bounds, pairs = _shared(open_, base, shingle, percent, close)
     cores = _open(open_.select("bucket", "node", "n_shingles", "component").join(bounds, "node").where(100 * F.col("common") >= percent * F.col("n_shingles")))
     all_ = cores.groupBy("node").agg(F.collect_set("bucket").alias("all"))
