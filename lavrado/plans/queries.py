@@ -88,7 +88,7 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, segment, content): an NF-e of each order; plain and wrapped, prefixed and default namespaces, some malformed."""
     o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
-    t = o.join(c, o.o_custkey == c.c_custkey, "left").repartition("o_orderkey")  # the orders can be one file; parsing costs far more than dealing them out
+    t = o.join(c, o.o_custkey == c.c_custkey, "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # the orders can be one small file, and parsing costs far more than dealing them out
     base = F.concat(F.lpad(F.coalesce(F.col("o_custkey"), F.lit(0)).cast("string"), 8, "0"), F.lit("0001"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     amount = F.concat(F.expr("cast(cents div 100 as string)"), F.lit("."), F.expr("lpad(cast(cents % 100 as string), 2, '0')"))
