@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from array import array
@@ -86,12 +87,19 @@ def chunks(text: bytes) -> list[bytes]:
     return text.split()
 
 
+_LETTERS = "a-z" + "".join(filter(str.isalpha, map(chr, range(0x80, 0x250))))
+#: A letter, digit or ASCII sign other than an apostrophe, over and over; and its pieces.
+_PLAIN = re.compile(f"[{_LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
+_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
 class WordBpe(dict):
     """Chunk: its ids (bytes of little-endian uint32), or how many, by the tokenizers library.
 
     A chunk is encoded when it is first asked for.  The library lower-cases, so a chunk with A-Z takes what
-    its lower-case form has (unless it may hold a special string, whose case counts); a final point or comma
-    after a letter is always a piece of its own.  At `most` entries the later half goes.
+    its lower-case form has (unless it may hold a special string, whose case counts).  It cuts between letters,
+    single digits and runs of other signs, so a chunk of Latin letters, digits and ASCII signs has the ids of
+    these pieces (unless an apostrophe may start a suffix).  At `most` entries the later half goes.
     """
 
     def __init__(self, path: str, counts: bool = False, most: int = 600_000) -> None:
@@ -109,10 +117,16 @@ class WordBpe(dict):
 
     def encoded(self, chunk: bytes):
         word = chunk.decode("utf-8", "replace")
-        if word.isalpha() and max(word) < "\u0250" and word == word.lower():  # one composed lower-case word: the library's normaliser and splitter leave it as it is
-            ids = [t.id for t in self.model.tokenize(word if word.isascii() else chunk.decode("latin-1").translate(self.byte_names))]
-        else:
+        low = word.lower()
+        if not _PLAIN.fullmatch(low) or b"<|" in chunk:
             ids = self.library.encode(word, add_special_tokens=False).ids
+        elif low != word:
+            return self[low.encode()]
+        elif len(pieces := _PIECE.findall(word)) > 1:
+            parts = [self[x.encode()] for x in pieces]
+            return sum(parts) if self.counts else b"".join(parts)
+        else:  # one piece, which the library's normaliser and splitter leave as it is
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else chunk.decode("latin-1").translate(self.byte_names))]
         return len(ids) if self.counts else array("I", ids).tobytes()
 
     def __missing__(self, chunk: bytes):
@@ -120,9 +134,7 @@ class WordBpe(dict):
             first = list(islice(self.items(), self.most // 2))  # the frequent ones came early
             self.clear()
             self.update(first)
-        if len(chunk) > 1 and chunk[-1] in b".," and chunk[-2:-1].isalpha():
-            found = self[chunk[:-1]] + self[chunk[-1:]]
-        elif (low := chunk.lower()) != chunk and b"<|" not in chunk:
+        if (low := chunk.lower()) != chunk and b"<|" not in chunk:
             found = self[low]
         else:
             found = self.encoded(chunk)
