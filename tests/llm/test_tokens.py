@@ -8,6 +8,7 @@ from hypothesis import given, settings, strategies as st
 
 from lavrado.llm import media, tiktoken_codec, token_counts, token_files
 from lavrado.llm.queries import queries
+from lavrado.llm.shared import word_bpe
 
 from . import cases
 
@@ -160,3 +161,9 @@ def test_media_files_are_tar_files_of_png(spark, tmp_path):
                 raw = tar.extractfile(member).read()
                 assert media.decoded(raw) == media.payload(texts[bytes.fromhex(member.name[:-4])])
     assert seen == len(index)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aZéÇ!'.,#<|>1²9·İßŁſ́ʼn -_x ɐДs", max_size=12))
+def test_chunks_have_the_ids_of_the_library(library, text):
+    assert word_bpe(WORDS).ids(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
