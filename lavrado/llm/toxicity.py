@@ -6,13 +6,15 @@ a target close by makes it a directed one, a negation before it a negated one, a
 a reported one.  Each kind of match sums its words' weights; a logistic model of the kinds' sums, fitted on
 labelled documents, gives the score.
 
-Plan: a bounded hash sample of labelled rows; two aggregations find the words and stems that occur in toxic
-documents only, judged by different contexts so that copies of one text count once; a third gives the kinds'
-sums of the sample's rows; then a row-local pass over all texts.  What is sent out is at most MOST_STEMS words.
+Plan: a bounded hash sample of labelled rows; two aggregations find the words and stems whose log-odds of a
+toxic document are significant for this sample, a toxic document counting only with a context of its own so
+that copies of one text count once; a third gives the kinds' sums of the sample's rows; then a row-local pass
+over all texts.  What is sent out is at most MOST_STEMS words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from collections.abc import Callable, Iterator
@@ -26,8 +28,8 @@ from .shared import documents, small_batches, staged, table
 #: Labelled rows of each label that the lexicon and the weights are fitted on, in expectation.
 TRAIN_ROWS = 4000
 MOST_STEMS = 20_000
-#: Least toxic documents, and contexts, of a learned word or stem, and its least share in them.
-LEAST, PURE = 8, 0.95
+#: Letters of the shortest stem.
+SHORT = 4
 KINDS = ("plain", "directed", "negated", "reported", "threat")
 
 # Fixed word lists, English, German, French and Spanish.
@@ -39,13 +41,28 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def stems(word: str) -> list[str]:
-    """The word itself and, marked, its first 4, 5 and 6 letters."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
+def stems(word: str, longest: int | None = None) -> list[str]:
+    """The word itself and, marked, its first letters, of every length from SHORT (to `longest`)."""
+    return [word, *(f"{word[:n]}*" for n in range(SHORT, len(word) if longest is None else min(len(word), longest + 1)))]
 
 
-def matches(text: str, lexicon: dict[str, float]) -> list[float]:
-    """The sum of weights of each kind of match in the text's clauses."""
+def stem_keys(word: str) -> list[int]:
+    """A 64-bit key of each of stems(word), in one pass over the letters: a long word's stems aren't spelled out."""
+    h, out = 0, []
+    for c in word:
+        h = hash((h, ord(c)))
+        out.append(h)
+    return [hash((out[-1], -7)), *out[SHORT - 1 : -1]]
+
+
+def heads(lexicon: dict[str, float]) -> tuple[frozenset[str], int]:
+    """The first letters that words of the lexicon have, and the length of its longest stem."""
+    return frozenset(s[:SHORT] for s in lexicon), max((len(s) - 1 for s in lexicon if s.endswith("*")), default=0)
+
+
+def matches(text: str, lexicon: dict[str, float], known: tuple[frozenset[str], int] | None = None) -> list[float]:
+    """The sum of weights of each kind of match in the text's clauses; `known` is heads(lexicon)."""
+    first, longest = known or heads(lexicon)
     out = [0.0] * len(KINDS)
     low = text.lower()
     for clause in _CLAUSE.split(low):
@@ -54,8 +71,8 @@ def matches(text: str, lexicon: dict[str, float]) -> list[float]:
         waiting: list[tuple[int, int, float]] = []  # matches a target may still follow
         for i, w in enumerate(words):
             weight = 0.0
-            for s in (w, w[:4] + "*", w[:5] + "*", w[:6] + "*") if len(w) > 6 else stems(w):
-                weight = max(weight, lexicon.get(s, 0.0))
+            if w[:SHORT] in first:
+                weight = max(lexicon.get(s, 0.0) for s in stems(w, longest))
             if weight or w in THREAT:
                 if not weight:
                     kind, weight = (4, 1.0)
@@ -83,12 +100,12 @@ def matches(text: str, lexicon: dict[str, float]) -> list[float]:
 def _tallied(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    seen: dict[str, list[int]] = {}
+    seen: dict[int, list[int]] = {}
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            for s in {s for w in set(_WORD.findall(text.lower())) for s in stems(w)}:
+            for s in {s for w in set(_WORD.findall(text.lower())) for s in stem_keys(w)}:
                 seen.setdefault(s, [0, 0])[label] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["stem", "clean", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["key", "clean", "toxic"])
 
 
 def _in_context(wanted) -> Callable:
@@ -100,9 +117,12 @@ def _in_context(wanted) -> Callable:
             for text in batch.column("text").to_pylist():
                 words = _WORD.findall(text.lower())
                 for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-                    out.update((s, f"{a} {w} {b}") for s in stems(w) if s in own)
+                    met = [(k, n) for n, k in enumerate(stem_keys(w), SHORT - 1) if k in own]
+                    if met:
+                        context = hashlib.md5(f"{a} {w} {b}".encode()).digest()
+                        out.update((k, w if n < SHORT else f"{w[:n]}*", context) for k, n in met)
             rows = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["stem", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["key", "stem", "context"])
 
     return run
 
@@ -113,7 +133,8 @@ def _summed(model) -> Callable:
 
         for batch in batches:
             own = model.value
-            rows = [matches(t, own) if t else [0.0] * len(KINDS) for t in batch.column("text").to_pylist()]
+            known = heads(own)
+            rows = [matches(t, own, known) if t else [0.0] * len(KINDS) for t in batch.column("text").to_pylist()]
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, pa.list_(pa.float64()))], [*kept, "kinds"])
 
@@ -121,20 +142,36 @@ def _summed(model) -> Callable:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the last one constant) of a ridge logistic model, by Newton's method."""
+    """Weights (the last one constant) of a ridge logistic model, by Newton's method; both labels weigh the same."""
     x = np.column_stack([x, np.ones(len(x))])
+    share = len(y) / 2 / np.maximum(1, np.array([(y != 1).sum(), (y == 1).sum()]))[(y == 1).astype(int)]
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (share * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log likelihood ratio of a larger share in toxic documents against an equal one; 0 if it isn't larger."""
+    part = lambda k, n, p: k * np.log(np.maximum(p, 1e-300)) + (n - k) * np.log(np.maximum(1 - p, 1e-300))
+    t, c = np.asarray(toxic, dtype=np.float64), np.asarray(clean, dtype=np.float64)
+    both = (t + c) / (n1 + n0)
+    ratio = part(t, n1, t / n1) + part(c, n0, c / n0) - part(t, n1, both) - part(c, n0, both)
+    return np.where(t / n1 > c / n0, 2 * ratio, 0.0)
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Smoothed log odds of a document with the stem among toxic documents against clean ones."""
+    t, c = np.asarray(toxic, dtype=np.float64), np.asarray(clean, dtype=np.float64)
+    return np.log((t + 0.5) / (n1 - t + 0.5)) - np.log((c + 0.5) / (n0 - c + 0.5))
+
+
 def fitted(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon, weights) from a table of text and label (0 or 1; other rows are left out)."""
     spark = labelled.sparkSession
@@ -146,15 +183,21 @@ def fitted(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float
         return {}, np.array([*[0.0] * len(KINDS), -3.0])
     share = F.create_map([F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))])
     sample = staged(usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000), "sample")
-    # Shares as if both labels had as many rows.
-    n0, n1 = (max(1.0, min(rows, sizes[k])) for k in (0, 1))
-    pure = F.col("toxic") / n1 / (F.col("toxic") / n1 + F.col("clean") / n0)
-    tally = sample.mapInArrow(_tallied, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    likely = tally.where(F.col("toxic") >= LEAST).where(pure >= PURE).withColumn("pure", pure).orderBy(F.desc("toxic"), "stem").limit(MOST_STEMS).toPandas()
-    wanted = spark.sparkContext.broadcast(frozenset(likely["stem"]))
-    contexts = sample.where("label = 1").select("text").mapInArrow(_in_context(wanted), "stem string, context string").groupBy("stem").agg(F.countDistinct("context").alias("contexts"))
-    met = {r[0]: r[1] for r in contexts.collect()}  # at most MOST_STEMS rows
-    lexicon = {s: float(np.log((t + 0.5) / n1) - np.log((c + 0.5) / n0)) for s, c, t in zip(likely["stem"], likely["clean"], likely["toxic"]) if met.get(s, 0) >= LEAST}
+    n0, n1 = (max(1, sample.where(F.col("label") == k).count()) for k in (0, 1))
+    tally = sample.mapInArrow(_tallied, "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    tried = staged(tally.where("toxic > 1"), "tried")
+    # Of M stems without a leaning to toxic documents the luckiest one has an evidence of about 2 ln M.
+    bound = 2 * np.log(max(2, tried.count()))
+    part = lambda k, n, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
+    t, c, both = F.col("toxic"), F.col("clean"), (F.col("toxic") + F.col("clean")) / (n0 + n1)
+    judged = tried.where(t / n1 > c / n0).withColumn("evidence", 2 * (part(t, n1, t / n1) + part(c, n0, c / n0) - part(t, n1, both) - part(c, n0, both)))
+    likely = judged.where(F.col("evidence") >= bound).orderBy(F.desc("evidence"), "key").limit(MOST_STEMS).toPandas()
+    wanted = spark.sparkContext.broadcast(frozenset(likely["key"].tolist()))
+    contexts = sample.where("label = 1").select("text").mapInArrow(_in_context(wanted), "key long, stem string, context binary").groupBy("key", "stem").agg(F.countDistinct("context").alias("contexts"))
+    met = contexts.toPandas().merge(likely, on="key")  # at most MOST_STEMS rows
+    own = np.minimum(met["toxic"], met["contexts"])
+    weights = log_odds(own, met["clean"], n1, n0)
+    lexicon = {s: float(x) for s, x, e in zip(met["stem"], weights, evidence(own, met["clean"], n1, n0)) if e >= bound}
     shared = spark.sparkContext.broadcast(lexicon)
     found = sample.mapInArrow(_summed(shared), "label int, kinds array<double>").toPandas()  # the bounded sample
     x = np.log1p(np.array(found["kinds"].tolist()).reshape(-1, len(KINDS)))

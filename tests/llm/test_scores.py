@@ -1,5 +1,8 @@
+import os
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lavrado.llm import language_id, licences, toxicity
 from lavrado.llm.queries import oracle_sql, queries
@@ -70,6 +73,26 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
     assert got.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_toxicity_finds_toxic_rows_of_every_language(spark, sf_dir):
+    sf = f"{os.path.dirname(sf_dir)}/sf0.1"  # smaller tables hold one held-out toxic row of a language
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    got = queries()["op9_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").join(docs, "doc_id")
+    rates = {(r.lang, r.toxic): r.right for r in got.groupBy("lang", "toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect()}
+    print(rates)
+    assert {lang for lang, toxic in rates if toxic} >= {"en", "de", "fr", "es"}
+    assert min(right for (_, toxic), right in rates.items() if toxic) > 0.85
+    assert min(right for (_, toxic), right in rates.items() if not toxic) > 0.95
+
+
+def test_stem_keys_tell_stems_apart():
+    words = ["fool", "fools", "foolish", "foo", "boco", "bocoas"]
+    pairs = [(s, k) for w in words for s, k in zip(toxicity.stems(w), toxicity.stem_keys(w), strict=True)]
+    assert len({s for s, _ in pairs}) == len({k for _, k in pairs}) == len(set(pairs))
+    assert toxicity.stems("abcdefgh") == ["abcdefgh", "abcd*", "abcde*", "abcdef*", "abcdefg*"]
+    assert toxicity.matches("abcdefgh", {"abcdefg*": 2.0})[0] == 2
+
+
 def test_toxicity_of_odd_rows(spark):
     df = cases.frame(spark)
     model = toxicity.fitted(df.selectExpr("text", "cast(doc_id % 2 as int) label"))
