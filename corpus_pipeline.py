@@ -24,9 +24,16 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one of the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more), one of the smallest doc_id.
+
+    Rows are told apart by a key of their own, so repeated rows and rows without a doc_id are copies like others.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that the keys stay
+    groups = near_dedup.near_duplicates(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(first.alias("x")).select(F.col("x._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

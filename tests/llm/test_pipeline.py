@@ -6,6 +6,20 @@ from lavrado.llm import tiktoken_codec
 from . import cases
 
 
+def test_one_row_of_repeated_rows_is_kept_whole(spark, sf_dir, tmp_path):
+    words = lambda k: " ".join(f"word{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, words(0)), (1, words(0)), (None, words(1)), (None, words(1)), (7, words(2)), (None, words(2)), (5, words(2)), (9, words(3)), (9, words(4)), (None, words(5) + " end"), (None, words(5))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.near_copies(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text.removesuffix(" end")) for r in kept) == sorted([(1, words(0)), (0, words(1)), (5, words(2)), (9, words(3)), (9, words(4)), (0, words(5))])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 0, 1, 5, 9, 9]
+    codec = tiktoken_codec.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sorted(r.n_tokens for r in out) == sorted(len(codec.encode_ordinary(r.text)) for r in kept)
+
+
 def test_stages_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
