@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lavrado.functions import ids, money, text
 from lavrado.operators import quality, xml_fiscal
 from lavrado.plans import queries
+from lavrado.sources import files
 
 
 def rows(columns, data):
@@ -54,6 +55,13 @@ def test_markdown(spark):
     assert one(spark, text.markdown(F.lit("DADOS DA NOTA FISCAL  \n\n\n\ntexto\n\n"), F.lit("a.pdf"))) == "# a.pdf\n\n## DADOS DA NOTA FISCAL\n\ntexto\n"
 
 
+@pytest.mark.parametrize("blanks,error", [(0, None), (63, None), (64, None), (2000, None), (4095, None), (4096, "UNSUPPORTED_FILE_TYPE")])
+def test_xml_after_a_long_blank_head(spark, blanks, error):
+    content = (b" \t\r\n\f\x0b" * 700)[:blanks] + b"<a/>"
+    r = files.detected(spark.createDataFrame([(bytearray(content), "a.bin")], "content binary, path string")).first()
+    assert (r.mime == "application/xml", r.error) == (error is None, error)
+
+
 def test_lines(spark):
     assert one(spark, text.lines(F.lit("a\r\nb\n\nc\x0bd\n"))) == "a\r\nb\n\nc\x0bd\n".splitlines()
 
