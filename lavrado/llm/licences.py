@@ -3,6 +3,10 @@
 A text is cut into sentences, each is normalised (A-Z lower-cased, all but a-z and 0-9 one space) and mapped
 to the identifier of a known licence sentence; the identifiers in order are matched against licence rules,
 first rule first, and a rule takes the identifiers that it matches.  Row-local: no shuffle, no join.
+
+Before the cut, official sentences (OFFICIAL), and known ones that are wrapped over lines of a paragraph,
+become lines of their own in the known wording: marks, line ends and comment signs between their words don't
+cut them.  The SQL has the scan without this step, for texts whose notices are on one line.
 """
 
 from __future__ import annotations
@@ -57,6 +61,17 @@ RULES = [
     ("CC0-1.0", ["CC0"]),
     ("Proprietary", ["Reserved"]),
 ]
+# Whole sentences as published, normalised, by identifier; a rarer word of each is looked for first.
+OFFICIAL = [
+    ("MITgrant", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("MITnotice", "substantial", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("AsIsCaps", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("GPLfree", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GPLfree", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("GPLfree", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
+    ("GPLhope", "merchantability", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("MPL2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sentence ends at marks before white space or the end, and at a line's end.
 _END = "[.!?;]+[ \\t\\r\\f]+|[.!?;]*\\n|[.!?;]+$"
@@ -66,6 +81,20 @@ def known_sentences() -> dict[str, str]:
     return {wording: name for name, wordings in SENTENCES.items() for wording in wordings}
 
 
+def whole_sentences() -> list[tuple[str, str, str]]:
+    """(word, pattern, line): what stands for a sentence whatever is between its words, but for an empty line."""
+    # Between words: other signs, with single line ends (and signs that start a comment's line) among them.
+    gap = r"(?=[^a-z0-9])[^a-z0-9\n]*+(?:\n(?![^a-z0-9\n]*+(?:\n|$))[^a-z0-9\n]*+)?+"
+    start = r"(?:^|(?<=\n)|(?<=[a-z0-9])(?=[^a-z0-9\n]*[.!?;:]))[^a-z0-9\n]*+"
+    end = r"(?=[^a-z0-9\n]*[.!?;:\n]|[^a-z0-9\n]*$)"
+    # An official sentence is long enough to be told without its ends; a known one has to be the whole sentence.
+    every = [(*x, r"(?<![a-z0-9])", r"(?![a-z0-9])") for x in OFFICIAL] + [(name, max(wording.split(), key=len), wording, start, end) for wording, name in known_sentences().items()]
+    short = {}
+    for wording, name in known_sentences().items():
+        short.setdefault(name, wording)
+    return [(word, a + gap.join(wording.split()) + b, f"\n{short[name]}\n") for name, word, wording, a, b in every]
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_known, sentence_ids, licences, n_unmatched for each row of df.
 
@@ -74,7 +103,10 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     have none.  Rows with equal doc_id stay separate rows; an empty table gives an empty result.
     """
     known = F.create_map([F.lit(x) for pair in known_sentences().items() for x in pair])
-    flat = F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), _END, "\n"), "[^a-z0-9\n]+", " ")
+    low = F.replace(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit("\r\n"), F.lit("\n"))
+    whole = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(p).alias("pattern"), F.lit(x).alias("line")) for w, p, x in whole_sentences()])
+    lined = F.aggregate(whole, low, lambda t, s: F.when(F.contains(t, s["word"]), F.regexp_replace(t, s["pattern"], s["line"])).otherwise(t))
+    flat = F.regexp_replace(F.regexp_replace(lined, _END, "\n"), "[^a-z0-9\n]+", " ")
     # Only the few sentences of a known one's words are looked up.
     ids = F.filter(F.transform(F.split(flat, "\n"), lambda s: known[F.trim(s)]), lambda x: x.isNotNull())
     found = df.select(F.col(doc_id).alias("doc_id"), ids.alias("ids"))

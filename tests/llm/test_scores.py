@@ -34,6 +34,67 @@ def test_a_rule_needs_its_sentences_in_order(spark):
     assert [(r.licences, r.n_unmatched) for r in got] == [("Apache-2.0", 1), ("Apache-2.0", 0)]
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2024, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licences_of_whole_wrapped_texts(spark, end):
+    comment = lambda t: "/*\n" + "".join(f" * {x}\n" if x else " *\n" for x in t.split("\n")) + " */\nint main;"
+    gpl2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    negated = "This project is not licensed under the\nMIT License."
+    parts = "Licensed under the Apache License,\n\nVersion 2.0"
+    texts = {"MIT": [MIT, comment(MIT), MIT.replace("\n", " ")], "BSD": [BSD, comment(BSD)], "MPL-2.0": [MPL, comment(MPL), MPL.replace("\n", " ")], "GPL": [GPL, comment(GPL), gpl2], "": [negated, parts, "licensed" + " " * 100_000 + "under. " + "." * 100_000]}
+    rows = [(i, t.replace("\n", end), want) for i, (t, want) in enumerate((t, want) for want, own in texts.items() for t in own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = licences.scan(df).join(df, "doc_id").collect()
+    assert {r.doc_id: r.licences for r in got} == {r.doc_id: r.want for r in got}
+    assert next(r for r in got if r.doc_id == 0).sentence_ids == "MITgrant;MITnotice;AsIsCaps"
+    assert all(r.n_unmatched == 0 for r in got)
+
+
 def test_language_id_on_held_out_rows(spark, sf_dir):
     got = queries()["op6_language_id"](spark, sf_dir)
     rows = got.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").collect()
