@@ -6,8 +6,12 @@ texts are one source; (2) anchors that occur once are dropped by a count; (3) th
 anchors give each anchor's context, the stretch of the windows that have it; equal contexts are
 counted, not repeated; (4) anchors with several contexts go to shards: in a shard, a suffix array of the
 contexts is built by Larsson-Sadakane refinement, Kasai's method gives common prefixes, and windows of one
-anchor and place with a common prefix of `length` are repeated.  An anchor with more than SHARD contexts is
-spread over several shards, and their windows meet once more by digest, each shard's repeated ones once.  (5) Spans go back to the texts, and are cut from the input's bytes.
+anchor and place with a common prefix of `length` are repeated.  (5) An anchor with more than SHARD contexts
+has several shards.  Each gives its distinct windows as a sorted run of keys (digests of place and window),
+cut into RANGES or more equal ranges of keys; a task merges the runs of one range two by two, by binary search
+of one run's keys in the other, and keys met in two runs are repeated windows.  A range holds no more than a
+shard does, whatever the anchor's size is.  (6) The spans of each context are put together before they go back to
+the context's occurrences, and are cut from the input's bytes.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .shared import documents, partitions, small_batches, staged, utf8
 ANCHOR = 32
 #: Contexts of one anchor in one shard, and bytes of contexts that are sorted at once.
 SHARD, TOGETHER = 4096, 1 << 20
+#: Ranges of keys, at least, that a shard's windows are cut into.
+RANGES = 64
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,32 +217,59 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _keyed(part: list[dict], places: list[np.ndarray], length: int) -> Iterator[tuple]:
+    """(anchor, range, shard, keys, contexts, starts) of one shard's windows: the contexts of part, and the places
+    of each that are to meet other shards' windows.  A context that is cut as a whole has starts of -1."""
+    keys, contexts, starts = [], [], []
+    for r, found in zip(part, places):
+        x, at = r["context"], r["before"]
+        keys += [hashlib.md5(b"%d " % (i - at) + x[i : i + length]).digest() for i in found.tolist()]
+        contexts += [r["context_id"]] * len(found)
+        starts.append(np.full(len(found), -1, dtype="<i4") if r["n"] > 1 else found.astype("<i4"))
+    if not keys:
+        return
+    own, who, where = np.array(keys, dtype="S16"), np.array(contexts, dtype="S16"), np.concatenate(starts)
+    order = np.argsort(own, kind="stable")
+    own, who, where = own[order], who[order], where[order]
+    ranges = max(RANGES, part[0]["shards"])
+    cuts = np.searchsorted(own, np.array([(k * (1 << 64) // ranges).to_bytes(8, "big") for k in range(1, ranges)], dtype="S16"))
+    edges = np.concatenate([[0], cuts, [len(own)]])
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        s, e = edges[k], edges[k + 1]
+        yield part[0]["anchor"], k, part[0]["salt"], own[s:e].tobytes(), who[s:e].tobytes(), where[s:e].tobytes()
+
+
 def _sharded(length: int) -> Callable:
-    """Rows ordered by anchor and salt to (anchor, context_id, spans of the context, lone windows)."""
+    """Rows ordered by anchor and salt to contexts with spans (keys is null), and runs of keys for the other shards."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ("anchor", "context_id", "spans", "range", "shard", "keys", "contexts", "starts")
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
         def rows(part: list[dict]):
             keys = {}
             group = np.array([keys.setdefault((r["anchor"], r["salt"]), len(keys)) for r in part])
             before = np.array([r["before"] for r in part], dtype=np.int64)
             sizes = [len(r["context"]) for r in part]
             marks, one = repeated_windows([r["context"] for r in part], before, group, length)
-            spans, lone, at = [], [], 0
-            for r, n in zip(part, sizes):
+            out, shard, places, at = [], [], [], 0
+            for k, (r, n) in enumerate(zip(part, sizes)):
                 own, first = marks[at : at + n], one[at : at + n]
                 at += n
                 if r["n"] > 1:  # the context as a whole is there again
                     own, first = np.arange(n) + length <= n, np.ones(n, dtype=bool)
                 s, e = _runs(own)
-                spans.append(np.stack([s, e + length - 1], axis=1).ravel().tolist())
-                alone = np.flatnonzero((~own | first)[: max(0, n - length + 1)]).tolist() if r["shards"] > 1 else []
-                lone.append([{"place": i - r["before"], "window": hashlib.md5(r["context"][i : i + length]).digest()} for i in alone])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r["anchor"] for r in part], pa.int64()), pa.array([r["context_id"] for r in part], pa.binary()), pa.array([r["before"] for r in part], pa.int32()), pa.array(spans, pa.list_(pa.int64())), pa.array(lone, pa.list_(pa.struct([("place", pa.int32()), ("window", pa.binary())])))],
-                ["anchor", "context_id", "before", "spans", "lone"],
-            )
+                if len(s):
+                    out.append((r["anchor"], r["context_id"], np.stack([s, e + length - 1], axis=1).ravel().tolist(), *[None] * 5))
+                if r["shards"] > 1:
+                    shard.append(r)
+                    places.append(np.flatnonzero((~own | first)[: max(0, n - length + 1)]))
+                    if k + 1 == len(part) or group[k + 1] != group[k]:
+                        out += [(a, None, None, *x) for a, *x in _keyed(shard, places, length)]
+                        shard, places = [], []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names)
 
         part, held = [], 0
         for batch in batches:
@@ -252,6 +285,60 @@ def _sharded(length: int) -> Callable:
     return run
 
 
+def merged_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """The keys that at least two of some sorted runs have, each run's keys being different; runs are merged two by
+    two, by binary search of the shorter one's keys in the longer one."""
+    some = [(r, np.zeros(len(r), dtype=bool)) for r in runs]
+    while len(some) > 1:
+        after = []
+        for k in range(0, len(some) - 1, 2):
+            (b, hit_b), (a, hit_a) = sorted(some[k : k + 2], key=lambda x: len(x[0]))
+            at = np.searchsorted(a, b)
+            met = at < len(a)
+            met[met] = a[at[met]] == b[met]
+            hit_a[at[met]] = True
+            after.append((np.insert(a, at[~met], b[~met]), np.insert(hit_a, at[~met], hit_b[~met])))
+        some = after + some[len(some) // 2 * 2 :]
+    return some[0][0][some[0][1]] if some else np.zeros(0, dtype="S16")
+
+
+def _met(length: int) -> Callable:
+    """Runs ordered by anchor, range and shard to (anchor, context_id, spans)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows(anchor: int, part: list[dict]):
+            keys, contexts = ([np.frombuffer(r[c], dtype="S16") for r in part] for c in ("keys", "contexts"))
+            starts = np.concatenate([np.frombuffer(r["starts"], dtype="<i4") for r in part]).astype(np.int64)
+            both = merged_runs(keys)
+            own, who = np.concatenate(keys), np.concatenate(contexts)
+            at = np.minimum(np.searchsorted(both, own), max(0, len(both) - 1))
+            good = np.flatnonzero((both[at] == own) & (starts >= 0)) if len(both) else np.zeros(0, dtype=np.int64)
+            good = good[np.lexsort((starts[good], who[good]))]
+            who, starts = who[good], starts[good]
+            spans: dict[bytes, list[int]] = {}
+            for c, x in zip(who.tolist(), starts.tolist()):
+                s = spans.setdefault(c, [])
+                if s and x <= s[-1]:
+                    s[-1] = x + length
+                else:
+                    s += [x, x + length]
+            return pa.RecordBatch.from_arrays([pa.array([anchor] * len(spans), pa.int64()), pa.array([c.ljust(16, b"\0") for c in spans], pa.binary()), pa.array(list(spans.values()), pa.list_(pa.int64()))], ["anchor", "context_id", "spans"])
+
+        part: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if part and (part[-1]["anchor"], part[-1]["range"]) != (r["anchor"], r["range"]):
+                    yield rows(part[-1]["anchor"], part)
+                    part = []
+                part.append(r)
+        if part:
+            yield rows(part[-1]["anchor"], part)
+
+    return run
+
+
 def _merged(spans: list[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(zip(spans[::2], spans[1::2])):
@@ -288,8 +375,9 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     """
     spark = df.sparkSession
     small_batches(spark)
-    base = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = staged(base.mapInArrow(_anchored(length, k), "doc_id long, digest binary, sha256 string, n_bytes long, anchor array<bigint>, start array<bigint>, before array<int>, size array<int>"), "anchors")
+    # A null doc_id is one of its own, and equal to itself in joins.
+    base = df.select(F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = staged(base.mapInArrow(_anchored(length, k), "doc_id struct<none:boolean,id:bigint>, digest binary, sha256 string, n_bytes long, anchor array<bigint>, start array<bigint>, before array<int>, size array<int>"), "anchors")
     copies = staged(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "copies")
     # One row for each distinct text (identical rows stay together; they are copies anyway).
     source = rows.where(F.size("anchor") > 0).select("digest", "doc_id", "anchor", "start", "before", "size").join(copies, ["digest", "doc_id"], "left_semi")
@@ -309,15 +397,17 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     several = sizes.where("m > 1").select("anchor", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
     salted = distinct.join(several, "anchor").withColumn("salt", F.pmod(F.xxhash64("context_id"), F.col("shards")).cast("int"))
     spread = salted.repartition(partitions(spark), "anchor", "salt").sortWithinPartitions("anchor", "salt", "context_id")
-    sorted_ = staged(spread.select("anchor", "salt", "shards", "context_id", "context", "before", "n").mapInArrow(_sharded(length), "anchor long, context_id binary, before int, spans array<bigint>, lone array<struct<place:int,window:binary>>"), "sorted")
-    lone = sorted_.where(F.size("lone") > 0).select("anchor", "context_id", "before", F.explode("lone").alias("x")).select("anchor", "context_id", "before", F.col("x.place").alias("place"), F.col("x.window").alias("window"))
-    met = lone.groupBy("anchor", "place", "window").count().where("count > 1").select("anchor", "place", "window")
-    # Besides windows without a partner, each shard names one of every window that has one, for the others to meet.
-    late = lone.join(met, ["anchor", "place", "window"]).select("anchor", "context_id", F.array((F.col("place") + F.col("before")).cast("long"), (F.col("place") + F.col("before") + length).cast("long")).alias("spans"))
-    marked = sorted_.where(F.size("spans") > 0).select("anchor", "context_id", "spans").unionByName(late).unionByName(alone)
+    shape = "anchor long, context_id binary, spans array<bigint>, range int, shard int, keys binary, contexts binary, starts binary"
+    sorted_ = staged(spread.select("anchor", "salt", "shards", "context_id", "context", "before", "n").mapInArrow(_sharded(length), shape), "sorted")
+    runs = sorted_.where("keys is not null").select("anchor", "range", "shard", "keys", "contexts", "starts")
+    dealt = runs.repartition(partitions(spark), "anchor", "range").sortWithinPartitions("anchor", "range", "shard")
+    late = staged(dealt.mapInArrow(_met(length), "anchor long, context_id binary, spans array<bigint>"), "late")
+    marked = sorted_.where("spans is not null").select("anchor", "context_id", "spans").unionByName(late).unionByName(alone)
+    # One row a context: the join makes a row for each occurrence of a context, whatever was found in it.
+    marked = staged(marked.groupBy("anchor", "context_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "marked")
     placed = contexts.select("digest", "anchor", "context_id", "start").join(marked, ["anchor", "context_id"])
     spans = placed.groupBy("digest").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans"))
-    return rows.join(copies.select("digest", "copies"), "digest").withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63)))), texts.select("digest", "text"), spans
+    return rows.join(copies.select("digest", "copies"), "digest").withColumn("doc_id", F.when(~F.col("doc_id.none"), F.col("doc_id.id"))), texts.select("digest", "text"), spans
 
 
 def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -341,7 +431,7 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
-    """df with the repeated bytes cut from its texts (broken characters at a cut go too); all rows stay."""
+    """df with the repeated bytes cut from its texts (broken characters at a cut go too); all rows and columns stay."""
     rows, _, spans = repeats(df, doc_id, text, length)
 
     @F.pandas_udf("string")
@@ -349,11 +439,12 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         return pd.Series([x if x is None or s is None else kept_bytes(x.encode(), list(s))[0].decode("utf-8", "ignore") for x, s in zip(texts, spans)], dtype=object)
 
     whole = F.array(F.lit(0).cast("long"), F.col("n_bytes"))
-    some = rows.where("copies > 1").groupBy("digest").agg(F.min("n_bytes").alias("n_bytes")).where(F.col("n_bytes") >= length).select(F.col("digest").alias("_digest"), whole.alias("_whole"))
-    keyed = df.withColumn("_digest", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    marks = spans.select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).join(some, "_digest", "full")
-    marks = marks.select("_digest", F.coalesce("_whole", "_spans").alias("_cut"))
-    return keyed.join(marks, "_digest", "left").withColumn(text, cut(F.col(text), F.col("_cut"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    some = rows.where("copies > 1").groupBy("digest").agg(F.min("n_bytes").alias("n_bytes")).where(F.col("n_bytes") >= length).select("digest", whole.alias("whole"))
+    marks = spans.join(some, "digest", "full").select("digest", F.coalesce("whole", "spans").alias("cut"))
+    # df's columns travel in one of their own, so that no name of theirs meets ours.
+    own = df.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    keyed = own.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return keyed.join(marks, "digest", "left").withColumn("text", cut(F.col("text"), F.col("cut"))).select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from lavrado.llm import decontaminate, near_dedup, suffix_dedup
 from lavrado.llm.queries import queries
@@ -88,15 +89,34 @@ def test_suffix_dedup_of_odd_rows(spark, monkeypatch):
     assert suffix_dedup.suffix_dedup(cases.frame(spark, [])).count() == 0
 
 
-def test_windows_meet_across_shards(spark, monkeypatch):
-    """With shards of three contexts, most windows' partners are in another shard."""
-    monkeypatch.setattr(suffix_dedup, "SHARD", 3)
+@pytest.mark.parametrize("shard", [3, 4096])
+def test_windows_meet_across_shards(spark, monkeypatch, shard):
+    """With shards of three contexts, most windows' partners are in another shard; some contexts occur twice."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "RANGES", 5)
     passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
-    rows = [(i, f"{i} " * 30 + passage[i : 150 + 3 * i] + f" {i * 7} " * 20) for i in range(40)]
+    rows = [(i, f"{i} " * 30 + passage[i % 30 : 150 + 3 * (i % 30)] + f" {i * 7} " * 20) for i in range(40)]
     got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=60)
     assert cases.table(got) == sorted(cases.cut_repeats(rows, 60), key=repr)
 
 
+def test_merged_runs_are_keys_of_two_runs():
+    draw = np.random.default_rng(3)
+    sets = [{bytes(draw.integers(0, 2, 16, dtype=np.uint8)) for _ in range(n)} for n in (400, 1, 0, 700, 90)]
+    runs = [np.array(sorted(s), dtype="S16") for s in sets]
+    want = sorted(k for k in set().union(*sets) if sum(k in s for s in sets) > 1)
+    assert [k.ljust(16, b"\0") for k in suffix_dedup.merged_runs(runs).tolist()] == want and want
+
+
+def test_repeats_are_cut_beside_columns_of_any_name(spark):
+    text = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
+    rows = [(-(2**63), text + "-tail", b"1", [1]), (None, text + "+more", b"2", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cut binary, _digest array<int>")
+    out = {r.doc_id: r for r in suffix_dedup.without_repeats(df, length=100).collect()}
+    assert out[-(2**63)].text == "-tail" and out[None].text == "+more" and (out[None]["_cut"], out[-(2**63)]["_digest"]) == (b"2", [1])
+    assert sorted(map(repr, suffix_dedup.suffix_dedup(df, length=100).select("doc_id", "n_removed").collect())) == ["Row(doc_id=-9223372036854775808, n_removed=300)", "Row(doc_id=None, n_removed=300)"]
+
+
 def test_suffix_array_is_the_sorted_suffixes():
     strings = [b"banana", b"ananas", b"aaaaaaa", b"", b"nan"]
     ends = np.cumsum([len(s) for s in strings])
