@@ -61,6 +61,12 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def deleted(spark: SparkSession, at: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch, unless the session bounds them lower."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -147,10 +147,11 @@ def test_media(spark, sf_dir, tmp_path):
     assert media.media_columns(cases.frame(spark, []), f"file://{tmp_path}/e").count() == 0
 
 
-def test_media_files_are_tar_files_of_png(spark, tmp_path):
+@pytest.mark.parametrize("bits", [64, media.MARKS])
+def test_media_files_are_tar_files_of_png(spark, tmp_path, bits):
     import tarfile
 
-    index = media.stored(cases.frame(spark), f"file://{tmp_path}/m").collect()
+    index = media.stored(cases.frame(spark), f"file://{tmp_path}/m", bits=bits).collect()
     assert len(index) == len({r[1] or "" for r in cases.fixture_rows()})
     texts = {hashlib.sha256((r[1] or "").encode()).digest(): (r[1] or "").encode() for r in cases.fixture_rows()}
     seen = 0
@@ -163,6 +164,26 @@ def test_media_files_are_tar_files_of_png(spark, tmp_path):
     assert seen == len(index)
 
 
+def test_media_headers_are_read_without_the_payload(spark, tmp_path):
+    index = media.stored(spark.createDataFrame([("a" * 200,), ("b",)], "text string"), f"file://{tmp_path}/m")
+    for r in index.collect():  # spoil all that follows the headers
+        with open(r.file.removeprefix("file://"), "r+b") as f:
+            f.seek(r.offset + media.HEADER)
+            f.write(bytes(r.length - media.HEADER))
+    got = media.header_columns(index)
+    assert sorted((r.width, r.height, r.bits) for r in got.collect()) == [(64, 1, 8), (64, 4, 8)]
+    with pytest.raises(Exception, match="checksum"):
+        media.features(index).collect()
+
+
+def test_a_media_file_of_an_earlier_attempt_stays(tmp_path):
+    files, folder = media.store(str(tmp_path))
+    for text in (b"first", b"second"):
+        (tmp_path / "t").write_bytes(text)
+        media.finished(files, f"{folder}/t", f"{folder}/x.tar")
+        assert (tmp_path / "x.tar").read_bytes() == b"first" and not (tmp_path / "t").exists()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aZéÇ!'.,#<|>1²9·İßŁſ́ʼn -_x ɐДs", max_size=12))
 def test_chunks_have_the_ids_of_the_library(library, text):
