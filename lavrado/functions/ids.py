@@ -1,58 +1,89 @@
-"""Brazilian tax numbers and access keys: check digits by modulo 11, as plain arithmetic that stays in generated code."""
+"""Brazilian tax numbers and access keys: check digits by modulo 11.
+
+A number is bound once by a lambda and its digits are summed by an aggregate, so that an expression's size
+doesn't grow with its argument's.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import digits
 
-CNPJ = "\\b\\d{2}\\.?\\d{3}\\.?\\d{3}/?\\d{4}-?\\d{2}\\b"
-CPF = "\\b\\d{3}\\.?\\d{3}\\.?\\d{3}-?\\d{2}\\b"
+# The shapes of numbers in a text.
+CNPJ = "\\b\\d{2}[.\\s]?\\d{3}[.\\s]?\\d{3}[/\\s]?\\d{4}[-\\s]?\\d{2}\\b"
+CPF = "\\b\\d{3}[.\\s]?\\d{3}[.\\s]?\\d{3}[-\\s]?\\d{2}\\b"
 CEP = "\\b\\d{5}[-\\s]?\\d{3}\\b"
+ACCESS_KEY = "\\b\\d{4}(?:[\\s.]?\\d{4}){10}\\b"
+PHONE = "\\(?(\\d{2})\\)?\\s*\\d{4,5}[-\\s]?\\d{4}"
+NUMBER_SERIES = "\\b(\\d{1,9})\\s*[/\\-]\\s*([A-Z0-9]{1,3})\\b"
+CNAE = "\\b\\d{4}[-\\s]?\\d[/\\s]?\\d{2}[-\\s]?\\d{2}\\b"
+SERVICE_CODE = "\\b\\d{2}[.,]\\d{2}\\b"
+# The codes of states.
+STATES = ("AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA", "PB", "PE", "PI", "PR", "RJ", "RN", "RO", "RR", "RS", "SC", "SE", "SP", "TO")
+
+
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(c), with c computed once however often `of` uses it."""
+    return F.transform(F.array(c), of)[0]
+
+
+def found(c: Column, pattern: str, group: int = 0) -> Column:
+    """The first match of a pattern, or its group; null if there is none."""
+    return F.nullif(F.regexp_extract(c, f"(?Ud){pattern}", group), F.lit(""))
 
 
 def weighted(d: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for k, w in enumerate(weights, 1):
-        total = total + F.substring(d, k, 1).try_cast("int") * w
-    return total
+    """The sum of the first digits times their weights."""
+    parts = F.zip_with(F.slice(F.split(d, ""), 1, len(weights)), F.array(*map(F.lit, weights)), lambda x, w: x.try_cast("int") * w)
+    return F.aggregate(parts, F.lit(0), lambda total, x: total + x)
 
 
 def _digit(total: Column) -> Column:
     """11 less the remainder; 10 and 11 are 0."""
-    return F.when(total % 11 < 2, 0).otherwise(F.lit(11) - total % 11)
+    return (F.lit(11) - total % 11) % 11 % 10
+
+
+def _two_digits(base: Column, first: list[int], second: list[int]) -> Column:
+    """Two check digits; the second's weights are for the base, and the first digit's weight is 2."""
+    return once(base, lambda b: once(_digit(weighted(b, first)), lambda a: F.concat(a.cast("string"), _digit(weighted(b, second) + 2 * a).cast("string"))))
 
 
 def cnpj_digits(base: Column) -> Column:
     """The two check digits of the first twelve digits."""
-    first = _digit(weighted(base, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])).cast("string")
-    return F.concat(first, _digit(weighted(F.concat(base, first), [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])).cast("string"))
+    return _two_digits(base, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3])
 
 
 def cpf_digits(base: Column) -> Column:
     """The two check digits of the first nine digits."""
-    first = _digit(weighted(base, list(range(10, 1, -1)))).cast("string")
-    return F.concat(first, _digit(weighted(F.concat(base, first), list(range(11, 1, -1)))).cast("string"))
+    return _two_digits(base, list(range(10, 1, -1)), list(range(11, 2, -1)))
 
 
 def _varied(d: Column) -> Column:
     return ~d.rlike("^(.)\\1*$")
 
 
-def valid_cnpj(c: Column) -> Column:
-    d = digits(c)
+def _cnpj_holds(d: Column) -> Column:
     return F.when((F.length(d) == 14) & _varied(d), F.substring(d, 13, 2) == cnpj_digits(F.substring(d, 1, 12))).otherwise(False)
 
 
-def valid_cpf(c: Column) -> Column:
-    d = digits(c)
+def _cpf_holds(d: Column) -> Column:
     return F.when((F.length(d) == 11) & _varied(d), F.substring(d, 10, 2) == cpf_digits(F.substring(d, 1, 9))).otherwise(False)
 
 
+def valid_cnpj(c: Column) -> Column:
+    return once(digits(c), _cnpj_holds)
+
+
+def valid_cpf(c: Column) -> Column:
+    return once(digits(c), _cpf_holds)
+
+
 def valid_document(c: Column) -> Column:
     """A number of 14 digits as CNPJ, of 11 as CPF, others not."""
-    d = digits(c)
-    return F.when(F.length(d) == 14, valid_cnpj(d)).when(F.length(d) == 11, valid_cpf(d)).otherwise(False)
+    return once(digits(c), lambda d: F.when(F.length(d) == 14, _cnpj_holds(d)).otherwise(_cpf_holds(d)))
 
 
 def key_digit(base: Column) -> Column:
@@ -61,8 +92,7 @@ def key_digit(base: Column) -> Column:
 
 
 def valid_access_key(c: Column) -> Column:
-    d = digits(c)
-    return F.when(F.length(d) == 44, F.substring(d, 44, 1) == key_digit(F.substring(d, 1, 43)).cast("string")).otherwise(False)
+    return once(digits(c), lambda d: F.when(F.length(d) == 44, F.substring(d, 44, 1) == key_digit(d).cast("string")).otherwise(False))
 
 
 def format_cnpj(c: Column) -> Column:
@@ -73,7 +103,15 @@ def format_cpf(c: Column) -> Column:
     return F.regexp_replace(digits(c), "^(\\d{3})(\\d{3})(\\d{3})(\\d{2})$", "$1.$2.$3-$4")
 
 
+def first_cnpj(c: Column) -> Column:
+    """The first CNPJ of a text, formatted; null if there is none."""
+    return once(found(c, CNPJ), lambda x: F.when(x.isNotNull(), format_cnpj(x)))
+
+
 def first_document(c: Column) -> Column:
     """The first CNPJ of a text, else its first CPF, formatted; null if there is none."""
-    cnpj, cpf = F.regexp_extract(c, CNPJ, 0), F.regexp_extract(c, CPF, 0)
-    return F.when(cnpj != "", format_cnpj(cnpj)).when(cpf != "", format_cpf(cpf))
+    return F.coalesce(first_cnpj(c), once(found(c, CPF), lambda x: F.when(x.isNotNull(), format_cpf(x))))
+
+
+def is_state(c: Column) -> Column:
+    return F.coalesce(c.isin(*STATES), F.lit(False))

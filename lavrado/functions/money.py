@@ -51,3 +51,11 @@ def literals(c: Column) -> Column:
 
 def largest(c: Column) -> Column:
     return F.array_max(F.filter(literals(c), lambda x: x.isNotNull()))
+
+
+def cents_variant(v: Column) -> Column:
+    """From a value of a JSON payload: whole numbers (and booleans) are cents already, other numbers are reais,
+    strings are read as cents_payload reads them; anything else is null."""
+    kind = F.schema_of_variant(v)
+    number = F.rint(F.try_variant_get(v, "$", "double") * 100).cast("long")
+    return F.when(kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(v, "$", "bigint")).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number).when(kind == "STRING", cents_payload(F.try_variant_get(v, "$", "string")))

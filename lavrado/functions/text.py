@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -23,30 +26,29 @@ def squeezed(c: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters that decompose to one ASCII character, what they become, and those that become several; of all of Unicode."""
     one, to, more = [], [], []
-    for k in range(0x80, 0x10000):
-        if 0xD800 <= k < 0xE000:
-            continue
-        plain = unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode()
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
         if len(plain) == 1:
-            one.append(chr(k))
+            one.append(c)
             to.append(plain)
-        elif plain and (k < 0x250 or 0x2000 <= k < 0x2150):
-            more.append((chr(k), plain))
+        elif plain:
+            more.append((c, plain))
     return "".join(one), "".join(to), more
 
 
 def folded(c: Column) -> Column:
-    """Compatibility decomposition, what isn't ASCII dropped, upper case.
-
-    Characters of several letters are decomposed below U+0250 and from U+2000 to U+214F.
-    """
+    """Compatibility decomposition, what isn't ASCII dropped, upper case."""
     one, to, more = _folding()
-    out = F.translate(c, one, to)
-    several = F.create_map(*[F.lit(x) for pair in more for x in pair])
-    by_letter = F.array_join(F.transform(F.split(out, ""), lambda x: F.coalesce(several[x], x)), "")
-    rare = F.when(out.rlike("[" + "".join(k for k, _ in more) + "]"), by_letter).otherwise(out)
-    return F.upper(F.regexp_replace(rare, "[^\\x00-\\x7F]", ""))
+
+    def plain(text: Column) -> Column:
+        several = F.from_json(F.lit(json.dumps(dict(more))), "map<string,string>")  # one literal, once the plan is optimised
+        by_letter = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(several[x], x)), "")
+        return F.regexp_replace(F.when(text.rlike("[" + "".join(k for k, _ in more) + "]"), by_letter).otherwise(text), "[^\\x00-\\x7F]", "")
+
+    some = F.transform(F.array(F.translate(c, one, to)), plain)[0]
+    return F.upper(F.when(c.rlike("[^\\x00-\\x7F]"), some).otherwise(c))
 
 
 def digits(c: Column) -> Column:
@@ -64,29 +66,59 @@ def lines(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
 
 
-def section(text: Column, starts: list[str], ends: list[str]) -> Column:
-    """From the first of the start headers to the first end header after it, headers found in the folded text.
+def first_place(where: Column, headers: Sequence[str]) -> Column:
+    """The least place (from 1) of any of the headers; null if none occurs."""
+    return F.array_min(F.filter(F.array(*[F.instr(where, h) for h in headers]), lambda x: x > 0))
+
+
+def section(text: Column, starts: Sequence[str], ends: Sequence[str], upper: Column | None = None) -> Column:
+    """From the first of the start headers to the first end header after it, headers found in the folded text
+    (`upper`, if it is at hand).
 
     Places are the folded text's, applied to the text itself; null if no start header occurs.
     """
-    nearest = lambda where, headers: F.array_min(F.filter(F.array(*[F.instr(where, h) for h in headers]), lambda x: x > 0))
 
-    def cut(upper: Column, start: Column) -> Column:
-        return F.substr(text, start, F.coalesce(nearest(F.substr(upper, start + F.lit(1)), ends), F.length(text)))
+    def cut(u: Column, start: Column) -> Column:
+        return F.substr(text, start, F.coalesce(first_place(F.substr(u, start + F.lit(1)), ends), F.length(text)))
 
     # Arrays of one element, so that the folded text and the place are computed once.
-    found = F.transform(F.array(folded(text)), lambda u: F.transform(F.array(nearest(u, starts)), lambda k: F.when(k.isNotNull(), cut(u, k))))
-    return found[0][0]
+    each = F.transform(F.array(folded(text) if upper is None else upper), lambda u: F.transform(F.array(first_place(u, starts)), lambda k: F.when(k.isNotNull(), cut(u, k))))
+    return each[0][0]
+
+
+def window(text: Column, upper: Column, label: str, size: int, skip: bool = False) -> Column:
+    """`size` characters of the text from where the folded text has the label (or from its end); null if it has not."""
+    k = F.instr(upper, label)
+    return F.when(k > 0, F.substr(text, k + F.lit(len(label) if skip else 0), F.lit(size)))
+
+
+def full_lines(c: Column) -> Column:
+    """The lines that aren't blank, stripped."""
+    return F.filter(F.transform(lines(c), strip), lambda x: x != "")
+
+
+def stripped_of(c: Column, characters: str) -> Column:
+    """Without any of some characters at both ends."""
+    return F.trim(c, F.lit(characters))
+
+
+def title_case(c: Column) -> Column:
+    """A capital after every character that is no letter, small letters after letters."""
+    each = F.regexp_extract_all(c, F.lit("(\\p{L}+|\\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(each, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
 
 
 def markdown(text: Column, title: Column) -> Column:
     """A text as Markdown: title, lines without trailing blanks, one empty line at most in a row, lines of
-    capitals of 3 to 10 words as second-level headings, one line end at last."""
-    heading = "^[A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ0-9 ,.:;/()\\-—+%$º°ª'\"]{6,}$"
+    capitals of 3 to 10 words as second-level headings, one line end at last.  An empty text is the bare title."""
+    # Fixed value: what a heading's line may hold.
+    heading = "^[A-ZÁÉÍÓÚÂÊÔÃÕÇ0-9 ,.:;/()\\-—+%R$°ºª'\"]{6,}$"
     ends = F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: F.regexp_replace(x, "(?U)[\\s\u001c-\u001f]+$", ""))
     words = lambda x: F.size(F.regexp_extract_all(x, F.lit("(?U)(\\S+)")))
-    shown = F.transform(ends, lambda x: F.when(strip(x).rlike(heading) & words(x).between(3, 10), F.concat(F.lit("## "), strip(x))).otherwise(x))
-    body = F.regexp_replace(F.regexp_replace(F.array_join(shown, "\n"), "\n{3,}", "\n\n"), "\n+$", "")
+    marked = lambda s: F.when(s.rlike(heading) & words(s).between(3, 10), F.concat(F.lit("## "), s))
+    shown = F.transform(ends, lambda x: F.coalesce(F.transform(F.array(strip(x)), marked)[0], x))
+    body = F.regexp_replace(F.regexp_replace(F.array_join(shown, "\n"), "^\n+", "\n"), "\n{3,}", "\n\n")
     named = F.nullif(title, F.lit(""))
-    head = F.when(named.isNotNull(), F.concat(F.lit("# "), named, F.lit("\n"))).otherwise("")
-    return F.when(blank(text), head).otherwise(F.concat(F.when(named.isNotNull(), F.concat(head, F.lit("\n"))).otherwise(""), body, F.lit("\n")))
+    head = F.when(named.isNotNull(), F.concat(F.lit("# "), strip(named), F.lit("\n\n"))).otherwise("")
+    whole = F.concat(F.regexp_replace(F.concat(head, body), "\n+$", ""), F.lit("\n"))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.coalesce(named, F.lit(""))).otherwise(whole)

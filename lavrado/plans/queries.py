@@ -6,15 +6,13 @@ out from the tables' own columns.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, ids, money, text
 from ..operators import cache, classify, quality, xml_fiscal
 from ..sources import files
 from ..streaming import ingest
+from . import services
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,12 +94,13 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit('<infNFe Id="NFe'), key, F.lit('"><ide><natOp>VENDA</natOp><mod>55</mod><serie>1</serie>'), F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("<nNF>"), F.col("o_orderkey").cast("string"), F.lit("</nNF>"))).otherwise(""),
         F.lit("<dhEmi>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:00:00-03:00</dhEmi><tpNF>"), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("0"), F.lit("</tpNF></ide><emit><CNPJ>"), base, ids.cnpj_digits(base), F.lit("</CNPJ><xNome> Fornecedor "), F.col("o_custkey").cast("string"),
-        F.lit(" </xNome><enderEmit><xLgr>Rua A</xLgr><nro>1</nro><xMun>Teresina</xMun><UF>PI</UF></enderEmit></emit>"), F.when(F.col("o_orderkey") % 5 != 0, F.lit("<dest><CPF>52998224725</CPF><xNome>Cliente</xNome></dest>")).otherwise(""),
+        F.lit(" </xNome><xFant>F</xFant><IE>123</IE><CRT>3</CRT><enderEmit><xLgr>Rua A</xLgr><nro>1</nro><xMun>Teresina</xMun><UF>PI</UF></enderEmit></emit>"), F.when(F.col("o_orderkey") % 5 != 0, F.lit("<dest><CPF>52998224725</CPF><xNome>Cliente</xNome></dest>")).otherwise(""),
         F.lit("<total><ICMSTot><vProd>"), amount, F.lit("</vProd><vNF>"), amount, F.lit("</vNF></ICMSTot></total></infNFe>"),
     )
     prefixed = F.regexp_replace(F.regexp_replace(body, "<(/?)([A-Za-z])", "<$1n:$2"), "^<n:infNFe", '<n:infNFe xmlns:n="http://www.portalfiscal.inf.br/nfe"')
-    form = F.col("o_orderkey") % 3
-    content = F.when(form == 0, F.concat(F.lit('<nfeProc xmlns="http://www.portalfiscal.inf.br/nfe"><NFe>'), body, F.lit("</NFe></nfeProc>"))).when(form == 1, F.concat(F.lit('<NFe xmlns="http://www.portalfiscal.inf.br/nfe">'), body, F.lit("</NFe>"))).otherwise(F.concat(F.lit('<n:NFe xmlns:n="http://www.portalfiscal.inf.br/nfe">'), prefixed, F.lit("</n:NFe>")))
+    form = F.expr("(o_orderkey div 7) % 4")
+    batch = F.concat(F.lit('<?xml version="1.0"?><enviNFe xmlns="http://www.portalfiscal.inf.br/nfe"><idLote>1</idLote><NFe>'), body, F.lit('</NFe><NFe><infNFe Id="NFe9"/></NFe></enviNFe>'))
+    content = F.when(form == 3, batch).when(form == 0, F.concat(F.lit('<nfeProc xmlns="http://www.portalfiscal.inf.br/nfe"><NFe>'), body, F.lit("</NFe></nfeProc>"))).when(form == 1, F.concat(F.lit('<NFe xmlns="http://www.portalfiscal.inf.br/nfe">'), body, F.lit("</NFe>"))).otherwise(F.concat(F.lit('<n:NFe xmlns:n="http://www.portalfiscal.inf.br/nfe">'), prefixed, F.lit("</n:NFe>")))
     spoilt = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("<NFe><infNFe>"), key)).otherwise(content)
     return t.withColumn("cents", cents).select("o_orderkey", F.col("c_mktsegment").alias("segment"), spoilt.alias("content"))
 
@@ -122,9 +121,17 @@ def nfe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_orderkey", F.col("x.number").cast("long").alias("number"), "x.code", "x.quantity", "x.total_price", "x.cst", "x.icms_value")
 
 
+def nfe_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = xml_fiscal.parsed(invoices(spark, sf_dir)).select("o_orderkey", F.explode("parties").alias("p"))
+    return t.select("o_orderkey", "p.role", "p.document_type", F.substring("p.document", 1, 8).alias("root"), "p.name", "p.fancy_name", "p.ie")
+
+
 def nfe_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = quality.assessed(xml_fiscal.parsed(invoices(spark, sf_dir)).where("error is null"))
-    return t.select("o_orderkey", F.coalesce("segment", F.lit("-")).alias("segment"), "confidence", F.array_join("missing_fields", ";").alias("missing_fields"), F.array_join("warnings", ";").alias("warnings"), "status")
+    """Every document, those that can't be read as errors."""
+    t = quality.assessed(xml_fiscal.parsed(invoices(spark, sf_dir)))
+    good = F.col("error").isNull()
+    of = lambda c: F.when(good, F.array_join(c, ";")).otherwise("")
+    return t.select("o_orderkey", F.coalesce("segment", F.lit("-")).alias("segment"), F.when(good, F.col("confidence")).alias("confidence"), of("missing_fields").alias("missing_fields"), of("warnings").alias("warnings"), F.when(good, F.col("status")).otherwise("error").alias("status"), "error")
 
 
 def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +145,9 @@ def dedupe_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
-    seen = t.where("doc_id % 3 = 0").select(cache.key(F.col("text")).alias("cache_key")).distinct().withColumn("status", F.lit("success"))
+    """All documents against a cache that holds the texts of those with labels."""
+    t = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = t.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(cache.key(F.col("text")).alias("cache_key")).withColumn("status", F.lit("success"))
     hits, misses = cache.probe(t, seen, "text")
     return hits.select("doc_id", "status").unionByName(misses.select("doc_id", F.lit("computed").alias("status")))
 
@@ -151,8 +159,13 @@ def issue_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.date_format(dates.moment(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("issued_at"), dates.competence(F.col("t")).cast("string").alias("competence_at"))
 
 
+#: Characters that become several letters, some outside of the first plane; and what they become.
+_COMPOUND, _PLAIN = " ﬁscal ﬄuxo ㎏ ⑩ 𝐀𝟗 ½ № Ⅷ … ™ ĳ", " FISCAL FFLUXO KG 10 A9 12 NO VIII ... TM IJ"
+
+
 def fold_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.folded(F.col("text")).cast("binary")).alias("folded_md5"))
+    mixed = F.concat(F.col("text"), F.lit(_COMPOUND))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.folded(mixed).cast("binary")).alias("folded_md5"), F.right(text.folded(mixed), F.lit(36)).alias("tail"))
 
 
 def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,29 +190,33 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = ingest.stream_folder(spark)
     schema = _table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table can be a file or a folder
     return ingest.run_available(spark, source, _jobs, f"{at}/out", f"{at}/state")
 
 
-QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states]
+QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, *services.QUERIES]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_HEADING = "[A-ZÁÉÍÓÚÂÊÔÃÕÇ0-9 ,.:;/()\\-—+%R$°ºª''\"]{6,}"
+
+
 def oracle_sql() -> dict[str, str]:
     q = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
     case = lambda k, values: f"CASE {k} " + " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(values)) + " END"
     sample = lambda i: case(f"p_partkey % {len(_SAMPLES)}", [s[i] for s in _SAMPLES])
     hinted = f"p_partkey % 7 = 0 AND p_partkey % {len(_SAMPLES)} <> {len(_SAMPLES) - 1}"
     segment = "coalesce(c_mktsegment, '-')"
-    assessed = f"""SELECT o_orderkey, {segment} AS segment, CAST(83 - CASE WHEN o_orderkey % 4 = 0 THEN 8 ELSE 0 END - CASE WHEN o_orderkey % 5 = 0 THEN 13 ELSE 0 END - 13 AS DOUBLE) / 100.0 + 0.0 AS c0,
- CASE WHEN o_orderkey % 4 = 0 THEN 8 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 13 ELSE 0 END AS gone FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0"""
-    judged = f"""SELECT o_orderkey, segment, (78 - gone) / 100.0::DOUBLE AS confidence, CASE WHEN o_orderkey % 4 = 0 THEN 'fiscal_document_number' ELSE '' END AS missing_fields, '' AS warnings,
- CASE WHEN o_orderkey % 4 = 0 THEN 'error' WHEN 78 - gone < 70 THEN 'partial' ELSE 'success' END AS status FROM ({assessed})"""
+    assessed = f"""SELECT o_orderkey, {segment} AS segment, CASE WHEN o_orderkey % 4 = 0 THEN 8 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 13 ELSE 0 END AS gone FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+    judged = f"""SELECT o_orderkey, segment, CASE WHEN o_orderkey % 11 <> 0 THEN (81 - gone) / 100.0::DOUBLE END AS confidence, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 4 = 0 THEN 'fiscal_document_number' ELSE '' END AS missing_fields, '' AS warnings,
+ CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 4 = 0 THEN 'error' WHEN 81 - gone < 70 THEN 'partial' ELSE 'success' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 'PARSE_FAILED' END AS error FROM ({assessed})"""
     states = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'processing' WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'succeeded' END ELSE 'queued' END"
     cents = f"({_CENTS})"
     bad = "o_orderkey % 11 = 0"
@@ -220,10 +237,16 @@ def oracle_sql() -> dict[str, str]:
         "nfe_quality": judged,
         "quality_rollup": f"SELECT segment, status, count(*) AS n, CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM ({judged}) GROUP BY ROLLUP (segment, status)",
         "dedupe_sha256": "SELECT doc_id, k AS cache_key, n AS place, CASE WHEN n > 1 THEN 'cache' ELSE 'computed' END AS extraction_method FROM (SELECT doc_id, sha256(text) AS k, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents)",
-        "cache_probe": "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) THEN 'success' ELSE 'computed' END AS status FROM documents WHERE text IS NOT NULL",
+        "cache_probe": "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)) THEN 'success' ELSE 'computed' END AS status FROM documents",
         "issue_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 17:42:47' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS issued_at, CASE WHEN o_orderkey % 9 = 0 THEN '2024-02-01' ELSE strftime(o_orderdate, '%Y-%m') || '-01' END AS competence_at FROM orders",
-        "fold_upper": "SELECT doc_id, md5(regexp_replace(upper(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g')) AS folded_md5 FROM documents",
+        "fold_upper": f"SELECT doc_id, md5(f) AS folded_md5, right(f, 36) AS tail FROM (SELECT doc_id, regexp_replace(upper(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g') || '{_PLAIN}' AS f FROM documents)",
+        "nfe_parties": """SELECT o_orderkey, 'issuer' AS role, 'cnpj' AS document_type, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS root, 'Fornecedor ' || o_custkey AS name, 'F' AS fancy_name, '123' AS ie FROM orders WHERE o_orderkey % 11 <> 0
+ UNION ALL SELECT o_orderkey, 'recipient', 'cpf', '52998224', 'Cliente', NULL, NULL FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0""",
+        "markdown_render": f"""SELECT doc_id, md5(CASE WHEN coalesce(text, '') = '' THEN coalesce(source, '') ELSE regexp_replace(head || body, '\\n+$', '') || chr(10) END) AS markdown_md5
+ FROM (SELECT doc_id, text, source, CASE WHEN coalesce(source, '') <> '' THEN '# ' || trim(source) || chr(10) || chr(10) ELSE '' END AS head,
+ regexp_replace(regexp_replace(array_to_string(list_transform(list_transform(string_split_regex(text, '{_ENDS}'), lambda x: regexp_replace(x, '{_SPACE}+$', '')), lambda x: CASE WHEN regexp_full_match(regexp_replace(x, '^{_SPACE}+', ''), '{_HEADING}') AND len(regexp_extract_all(x, '[^ ]+')) BETWEEN 3 AND 10 THEN '## ' || regexp_replace(x, '^{_SPACE}+', '') ELSE x END), chr(10)), '^\\n+', chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM documents)""",
         "section_slice": "SELECT o_orderkey, 'Prestador do Serviço' || chr(10) || 'nome ' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) ELSE '' END AS section FROM orders",
         "job_states": f"SELECT event_id, {states} AS state FROM events",
         "stream_job_states": f"SELECT event_id, {states} AS state FROM events",
+        **services.oracle_sql(),
     }

@@ -21,7 +21,7 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = queries.queries()[name](spark, sf_dir), con.sql(queries.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
