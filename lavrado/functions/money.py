@@ -56,6 +56,10 @@ def largest(c: Column) -> Column:
 def cents_variant(v: Column) -> Column:
     """From a value of a JSON payload: whole numbers (and booleans) are cents already, other numbers are reais,
     strings are read as cents_payload reads them; anything else is null."""
-    kind = F.schema_of_variant(v)
-    number = F.rint(F.try_variant_get(v, "$", "double") * 100).cast("long")
-    return F.when(kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(v, "$", "bigint")).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number).when(kind == "STRING", cents_payload(F.try_variant_get(v, "$", "string")))
+
+    def of(x: Column) -> Column:
+        number = F.rint(F.try_variant_get(x, "$", "double") * 100).cast("long")
+        kinds = lambda k: F.when(k.isin("BIGINT", "BOOLEAN"), F.try_variant_get(x, "$", "bigint")).when(k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT"), number).when(k == "STRING", cents_payload(F.try_variant_get(x, "$", "string")))
+        return F.transform(F.array(F.schema_of_variant(x)), kinds)[0]
+
+    return F.transform(F.array(v), of)[0]

@@ -25,29 +25,25 @@ def squeezed(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters that decompose to one ASCII character, what they become, and those that become several; of all of Unicode."""
-    one, to, more = [], [], []
-    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
-        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
-            one.append(c)
-            to.append(plain)
-        elif plain:
-            more.append((c, plain))
-    return "".join(one), "".join(to), more
+def _folding() -> str:
+    """What every character that decomposes to ASCII becomes, as a JSON object; of all of Unicode."""
+    plain = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)])}
+    return json.dumps({c: x for c, x in plain.items() if x})
 
 
 def folded(c: Column) -> Column:
-    """Compatibility decomposition, what isn't ASCII dropped, upper case."""
-    one, to, more = _folding()
+    """Compatibility decomposition, what isn't ASCII dropped, upper case.
+
+    Each character other than ASCII is looked up once a text and then replaced all over it.
+    """
 
     def plain(text: Column) -> Column:
-        several = F.from_json(F.lit(json.dumps(dict(more))), "map<string,string>")  # one literal, once the plan is optimised
-        by_letter = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(several[x], x)), "")
-        return F.regexp_replace(F.when(text.rlike("[" + "".join(k for k, _ in more) + "]"), by_letter).otherwise(text), "[^\\x00-\\x7F]", "")
+        known = F.from_json(F.lit(_folding()), "map<string,string>")  # one literal, once the plan is optimised
+        rare = F.array_distinct(F.regexp_extract_all(text, F.lit("([^\\x00-\\x7F])"), F.lit(1)))
+        pairs = F.filter(F.transform(rare, lambda x: F.struct(x.alias("from"), known[x].alias("to"))), lambda p: p["to"].isNotNull())
+        return F.regexp_replace(F.aggregate(pairs, text, lambda t, p: F.replace(t, p["from"], p["to"])), "[^\\x00-\\x7F]+", "")
 
-    some = F.transform(F.array(F.translate(c, one, to)), plain)[0]
+    some = F.transform(F.array(c), plain)[0]
     return F.upper(F.when(c.rlike("[^\\x00-\\x7F]"), some).otherwise(c))
 
 
