@@ -1,77 +1,118 @@
 """Benchmark decontamination: a hash set of normalised benchmark n-grams, sent out in blocks of a fixed bound.
 
-Plan: the benchmark's size is summed first; it is cut into as many blocks as keep each within MOST_BYTES.
-For each block one row-local pass over the texts adds the hits to the row, so nothing is shuffled whatever
-the sizes are.  In a pass, words are looked up in the block's vocabulary; only stretches of known words are
-hashed window by window, and a hash that is in the set is verified word by word.
+Plan: equal item texts are put together and their sizes summed first; the benchmark is cut into as many blocks
+as keep each within MOST_BYTES of text.  For each block one row-local pass over the texts adds the hits to the
+row, so no text is shuffled whatever the sizes are; with several blocks the rows are written between passes,
+so that a task holds one block's table.  A table is a few flat arrays (window hashes in order, the word each
+window starts at, the items' text and words), about six bytes for each byte of text: in a pass, the windows of
+a batch of texts are hashed and searched in it, and what is found is verified word by word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import documents, small_batches, table, utf8
+from . import hashing
+from .shared import documents, small_batches, staged, table, utf8
 
 #: Bytes of benchmark text that are sent out at once.
-MOST_BYTES = 32 << 20
+MOST_BYTES = 8 << 20
 _WORD = bytes(b if chr(b).isalnum() and b < 128 else b if b > 127 else 32 for b in range(256)).lower()
 _RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters, digits and all other than ASCII characters, A-Z lower-cased."""
-    return text.translate(_WORD).split()
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of normalised bytes (see `_WORD`) start and end."""
+    edge = np.diff(np.concatenate([[0], (data != 32).view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as one array of normalised bytes, their words' starts and ends, and each word's text.
+
+    Words are runs of ASCII letters, digits and all other than ASCII characters, A-Z lower-cased.
+    """
+    data = np.frombuffer(b" ".join(x.translate(_WORD) for x in texts) + b" ", dtype=np.uint8)
+    starts, ends = words(data)
+    after = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+    return data, starts, ends, np.searchsorted(after, starts, side="right")
+
+
+def hashed(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row, from the words' hashes."""
+    m = max(0, len(words) - n + 1)
+    out = np.zeros(m, dtype=np.uint64)
+    for j in range(n):
+        out = (out + words[j : j + m]) * _STEP
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Windows:
-    """The windows of benchmark items, by length, over the ids of the items' words."""
-
-    def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            own = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
-            for i in range(max(1, len(own) - size + 1) if own else 0):
-                self.owners.setdefault(tuple(own[i : i + size]), set()).add(name)
-        by: dict[int, list] = {}
-        for w in self.owners:
-            by.setdefault(len(w), []).append(w)
-        self.by_length = {n: np.unique(self.hashed(np.array(some, dtype=np.int64))) for n, some in by.items()}
-
-    @staticmethod
-    def hashed(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows), dtype=np.uint64)
-        for j in range(rows.shape[1]):
-            out = (out + rows[:, j].astype(np.uint64) + np.uint64(1)) * _STEP
-            out ^= out >> np.uint64(29)
-        return out
-
-    def hits(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word spans (start, end) of the windows that occur, and their items."""
-        ids = np.fromiter(map(self.ids.get, found, repeat(-1)), dtype=np.int64, count=len(found))
-        gone = np.concatenate([[0], np.cumsum(ids < 0)])
-        out, names = [], set()
-        for n, known in self.by_length.items():
-            if len(ids) < n:
-                continue
-            at = np.flatnonzero(gone[n:] == gone[:-n])
-            if not len(at):
-                continue
-            h = self.hashed(ids[at[:, None] + np.arange(n)])
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for i in at[known[place] == h].tolist():
-                own = self.owners.get(tuple(ids[i : i + n].tolist()))
-                if own:
-                    out.append((i, i + n))
-                    names |= own
-        return out, names
+    """The windows of benchmark texts, by length."""
+
+    def __init__(self, texts: list[bytes], ids: list[list[str]], size: int) -> None:
+        data, starts, ends, owner = laid_out(texts)
+        self.data, self.starts, self.ends, self.owner = data, starts.astype(np.int32), ends.astype(np.int32), owner.astype(np.int32)
+        self.ids = ids
+        have = np.bincount(owner, minlength=len(texts))
+        each = hashing.spans(data, starts, ends)
+        first = np.cumsum(have) - have
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({*np.minimum(have, size).tolist()} - {0}):
+            h = hashed(each, n)
+            if n == size:
+                at = np.flatnonzero(owner[: len(h)] == owner[n - 1 :])
+            else:  # an item of fewer words is one window
+                at = first[have == n]
+            order = at[np.argsort(h[at], kind="stable")]
+            self.by_length[n] = (h[order], order.astype(np.int32))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.data, self.starts, self.ends, self.owner, *[x for pair in self.by_length.values() for x in pair]))
+
+    def _known(self, n: int, lo: int) -> dict[bytes, tuple[str, ...]]:
+        """The windows of one hash, as words, and the items that have them."""
+        h, at = self.by_length[n]
+        out: dict[bytes, set[str]] = {}
+        for w in at[lo : np.searchsorted(h, h[lo], side="right")].tolist():
+            own = b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[w : w + n].tolist(), self.ends[w : w + n].tolist()))
+            out.setdefault(own, set()).update(self.ids[self.owner[w]])
+        return {k: tuple(v) for k, v in out.items()}
+
+    def finder(self) -> Callable[[list[bytes]], tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]]:
+        """A function of texts to their numbers of words, and of each the word spans of windows that occur and their items."""
+        known = lru_cache(maxsize=4096)(self._known)
+
+        def find(texts: list[bytes]):
+            data, starts, ends, owner = laid_out(texts)
+            have = np.bincount(owner, minlength=len(texts))
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            names: list[set[str]] = [set() for _ in texts]
+            each = hashing.spans(data, starts, ends)
+            first = np.cumsum(have) - have
+            for n, (table_, _) in self.by_length.items():
+                h = hashed(each, n)
+                place = np.minimum(np.searchsorted(table_, h), len(table_) - 1)
+                at = np.flatnonzero((table_[place] == h) & (owner[: len(h)] == owner[n - 1 :]))
+                for i, lo in zip(at.tolist(), place[at].tolist()):
+                    own = b" ".join(data[s:e].tobytes() for s, e in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist()))
+                    found = known(n, lo).get(own)
+                    if found is not None:
+                        k, where = int(owner[i]), int(i - first[owner[i]])
+                        spans[k].append((where, where + n))
+                        names[k].update(found)
+            return have, spans, names
+
+        return find
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,15 +129,12 @@ def _scan(windows) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        find = windows.value.finder()
         for batch in batches:
-            own, n, spans, names = windows.value, [], [], []
-            for x, s, i in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                found = words(x or b"")
-                more, who = own.hits(found)
-                n.append(len(found))
-                spans.append([v for span in merged([*zip(s[::2], s[1::2]), *more]) for v in span])
-                names.append(sorted({*i, *who}))
-            new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
+            have, found, who = find([x or b"" for x in utf8(batch.column("text"))])
+            spans = [[v for span in merged([*zip(s[::2], s[1::2]), *more]) for v in span] for s, more in zip(batch.column("spans").to_pylist(), found)]
+            names = [sorted({*i, *more}) for i, more in zip(batch.column("items").to_pylist(), who)]
+            new = {"n_words": pa.array(have, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     return run
@@ -106,14 +144,19 @@ def _marked(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item
     """text, row (df's other columns) and contamination."""
     spark = df.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).where("i is not null and t is not null")
-    total = items.agg(F.sum(F.length("t") + F.length("i"))).first()[0] or 0
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
+    # Copies of a text are one entry, so that a block's size is what its texts and ids have.
+    items = staged(items.groupBy("t").agg(F.collect_set("i").alias("i")), "items")
+    total = items.agg(F.sum(F.length("t") + F.coalesce(F.length(F.array_join("i", "")), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-total // most))
     out = df.select(F.col(text).alias("text"), F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
     for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).toArrow() if blocks > 1 else items.toArrow()  # within `most`
-        shared = spark.sparkContext.broadcast(Windows(list(zip(some.column("i").to_pylist(), some.column("t").to_pylist())), size))
+        some = (items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else items).toArrow()  # about `most` bytes
+        shared = spark.sparkContext.broadcast(Windows(some.column("t").to_pylist(), some.column("i").to_pylist(), size))
         out = out.mapInArrow(_scan(shared), out.schema)
+        if k + 1 < blocks:
+            out = staged(out, "scanned")
+            shared.destroy()
     signed = F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda n, x: n + x)
     found = out.withColumn("n_hit", hit)
@@ -130,7 +173,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
 
     spans: merged hit word places, start and end by turns; items: the ids, as sorted strings, of items of
     which a window occurs.  An item of fewer than `size` words, but not none, is one window.  Null and empty
-    texts have no words; items with a null id or no words have no windows; rows of one item_id are one item.
+    texts have no words, and items without words no windows; rows of one item_id are one item.  An item without
+    an id has its windows, which are hits, but no name in `items`.  `most` bounds the bytes of item text that a
+    task holds at once (one item longer than that is held as a whole).
     Extra columns are kept as they are; a column named contamination is replaced.
     """
     keep = [c for c in df.columns if c != "contamination"]

@@ -62,14 +62,14 @@ def contaminated(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     for i, t in items:
         own = cut(t)
         for j in range(max(1, len(own) - 12) if own else 0):
-            windows.setdefault(tuple(own[j : j + 13]), set()).add(str(i))
+            windows.setdefault(tuple(own[j : j + 13]), set()).update([] if i is None else [str(i)])
     sizes = {len(w) for w in windows}
     out = []
     for i, t in docs:
         own, hit, names = cut(t), set(), set()
         for n in sizes:
             for j in range(len(own) - n + 1):
-                if who := windows.get(tuple(own[j : j + n])):
+                if (who := windows.get(tuple(own[j : j + n]))) is not None:
                     hit |= set(range(j, j + n))
                     names |= who
         out.append((i, len(own), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(own)))

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 
 import numpy as np
 import pytest
@@ -59,8 +60,8 @@ def test_decontaminate_against_every_window(spark, sf_dir):
 def test_decontaminate_odd_rows_and_blocks(spark):
     docs = cases.frame(spark)
     base = next(r[1] for r in cases.fixture_rows() if r[0] == 8)
-    items = spark.createDataFrame([(1, base[60:200]), (2, "river"), (2, "stone"), (3, None), (None, "casa"), (4, ""), (5, base[60:200])], "item_id long, text string")
-    want = cases.contaminated([(r[0], r[1]) for r in cases.fixture_rows()], [tuple(r) for r in items.collect() if r[0] is not None])
+    items = spark.createDataFrame([(1, base[60:200]), (2, "river"), (2, "stone"), (3, None), (None, "casa"), (4, ""), (5, base[60:200]), (None, "no item")], "item_id long, text string")
+    want = cases.contaminated([(r[0], r[1]) for r in cases.fixture_rows()], [tuple(r) for r in items.collect()])
     for most in (decontaminate.MOST_BYTES, 40):
         marked = decontaminate.contamination(docs, items, most=most)
         assert marked.columns == [c for c in docs.columns if c != "contamination"] + ["contamination"]
@@ -75,6 +76,16 @@ def test_decontaminate_odd_rows_and_blocks(spark):
     assert decontaminate.contamination(cases.frame(spark, []), items).count() == 0
 
 
+def test_a_block_of_the_benchmark_is_bounded():
+    draw = np.random.default_rng(4)
+    texts = [b" ".join(b"w%d" % k for k in draw.integers(0, 5000, 60)) for _ in range(3000)]
+    held = decontaminate.Windows(texts, [[str(k)] for k in range(len(texts))], 13)
+    sent = len(pickle.dumps(held))
+    assert held.nbytes <= sent <= 8 * sum(map(len, texts))
+    have, spans, names = held.finder()([b"", texts[7], b"w1", texts[8][:-9]])
+    assert have[1] == 60 and decontaminate.merged(spans[1]) == [(0, 60)] and names[1] >= {"7"} and not spans[0] and not spans[2] and "8" in names[3]
+
+
 def test_suffix_dedup_against_a_table_of_windows(spark, sf_dir):
     got = queries()["op8_suffix_dedup"](spark, sf_dir)
     assert cases.table(got) == sorted(cases.cut_repeats(pairs(spark, sf_dir), 200), key=repr)
