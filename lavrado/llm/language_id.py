@@ -5,9 +5,9 @@ n-gram under the bit's languages against the others) predicts the bit.  A text's
 loss: the bits' logistic losses, weighted by how far apart the classifier's two sides are, are summed for
 every codeword and the least wins; a second one close by flags the text as ambiguous.
 
-Plan: a count by language, a bounded hash sample of labelled rows, one aggregation of n-gram counts
-(at most BUCKETS a language and task), then a row-local pass over all texts.  What is sent out is
-BUCKETS x bits numbers.
+Plan: a count by language, a bounded sample of labelled rows (each row by itself, so copies of one text neither all
+come in nor all stay out), one aggregation of n-gram counts (at most BUCKETS a language and task, and BUCKETS rows
+a language at the driver), then a row-local pass over all texts.  What is sent out is BUCKETS x bits numbers.
 """
 
 from __future__ import annotations
@@ -26,7 +26,12 @@ TRAIN_ROWS = 4000
 #: Texts whose two nearest codewords' losses lie closer are ambiguous.
 CLOSE = 0.1
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)).lower()
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Numeric signs such as ½ or ² are no letters."""
+    return _LATIN.search(text) is not None or any(map(str.isalpha, text))
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +111,7 @@ def _predicted(model) -> Callable:
 
         for batch in batches:
             own, texts = model.value, batch.column("text").to_pylist()
-            some = [i for i, t in enumerate(texts) if t and own is not None and _LETTER.search(t)]
+            some = [i for i, t in enumerate(texts) if t and own is not None and has_letter(t)]
             name, score, vague = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             if some:
                 loss = own.losses([texts[i].encode() for i in some])
@@ -122,7 +127,11 @@ def _predicted(model) -> Callable:
 
 
 def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """The classifiers of the languages of a table's rows with text and label; None if there is none."""
+    """The classifiers of the languages of a table's rows with text and label; None if there is none.
+
+    `rows` bounds the rows of a language that are learned from, in expectation; a language with fewer rows is
+    learned from all of them.
+    """
     spark = labelled.sparkSession
     small_batches(spark)
     some = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
@@ -130,7 +139,7 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: in
     if not sizes:
         return None
     share = F.create_map([F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))])
-    sample = some.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = some.where(F.rand(11) < share[F.col("lang")])
     found = sample.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS a language
     counts = {}
     for k, part in found.groupby("lang"):
@@ -143,7 +152,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     """df with lang_pred, score (0 to 1) and ambiguous.
 
     Texts that are null or have no letter, and all texts if there is no model, are `und` with score 0 and
-    ambiguous.  Ties go to the first language by name.  Other columns are kept; columns of the new names are
+    ambiguous.  A letter is what Unicode calls one.  Ties go to the first language by name.  Other columns are kept; columns of the new names are
     replaced.
     """
     spark = df.sparkSession

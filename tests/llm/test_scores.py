@@ -118,6 +118,19 @@ def test_language_id_of_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(df, only).collect()} == {"und", "en"}
 
 
+def test_texts_of_signs_have_no_language(spark):
+    rows = [(1, "½"), (2, "² ③ Ⅷ"), (3, "1_2"), (4, "ª"), (5, "中"), (6, "x")]
+    model = language_id.fitted(cases.frame(spark))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {i for i, p in got.items() if p == "und"} == {i for i, t in rows if not any(c.isalpha() for c in t)} == {1, 2, 3}
+
+
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 'ein Satz' else concat('a sentence ', id) end text", "case when id % 3 = 0 then 'de' else 'en' end lang")
+    for rows in (5, 50, 500):
+        assert language_id.fitted(df, rows=rows).languages == ["de", "en"]
+
+
 @pytest.mark.parametrize("languages", [1, 2, 3, 4, 7, 12])
 def test_codewords_differ(languages):
     code = language_id.codewords(languages)
