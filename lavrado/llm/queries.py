@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib
+import sys
+from pathlib import Path
 
 #: Query name: the module that has it.
 MODULES = {
@@ -20,6 +22,9 @@ MODULES = {
 
 
 def queries() -> dict:
+    root = str(Path(__file__).resolve().parents[2])  # where corpus_pipeline.py is, whatever folder Python was started in
+    if root not in sys.path:
+        sys.path.append(root)
     import corpus_pipeline
 
     found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}

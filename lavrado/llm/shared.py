@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see.  The cluster names it; only where it doesn't (tests) a local one is made."""
+    """The folder all executors see.  The cluster names it; only on one machine (tests) a local one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "lavrado-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,8 +49,13 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once and its lineage ends there."""
     spark = df.sparkSession
     at = fresh_path(spark, label)
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # the write is the shuffles' only reader
-    df.write.option("compression", codec).parquet(at)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")  # the write is the shuffles' only reader
+    try:
+        df.write.option("compression", codec).parquet(at)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -68,7 +76,10 @@ def deleted(spark: SparkSession, at: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, unless the session bounds them lower."""
+    """Bound the rows of an Arrow batch, unless the session bounds them lower.
+
+    Spark reads this setting when a plan runs, after an operator has returned, so it stays in the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
@@ -88,7 +99,8 @@ def partitions(spark: SparkSession) -> int:
 def chunks(text: bytes) -> list[bytes]:
     """Pre-tokens of a text for the word BPE: runs without ASCII white space.
 
-    The tokenizer drops white space and no piece crosses it, so a text's ids are those of its chunks, joined.
+    The tokenizer (see `modelled`) drops white space and no piece crosses it, so a text's ids are those of its
+    chunks, joined.
     """
     return text.split()
 
@@ -99,6 +111,26 @@ _PLAIN = re.compile(f"[{_LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
 _PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
+# The normaliser and the splitter that `chunks` and WordBpe stand for.
+MODELLED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
+def modelled(path: str) -> None:
+    """Raise unless a tokenizer file has the normaliser and the splitter of MODELLED, a byte-level BPE without drop-out
+    and no special string other than `<|...|>`: only then the ids of a text are those of its chunks and pieces."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told["model"]
+    same = all(told.get(k) == v for k, v in MODELLED.items()) and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+    plain = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not set(t["content"]) & set(" \t\n\r\f\v") for t in told["added_tokens"])
+    if not (same and plain):
+        raise ValueError(f"{path}: its normaliser, splitter or model isn't the one that texts are cut for")
+
+
 class WordBpe(dict):
     """Chunk: its ids (bytes of little-endian uint32), or how many, by the tokenizers library.
 
@@ -110,6 +142,7 @@ class WordBpe(dict):
 
     def __init__(self, path: str, counts: bool = False, most: int = 600_000) -> None:
         super().__init__()
+        modelled(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

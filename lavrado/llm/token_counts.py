@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import chunks, documents, small_batches, staged, utf8, word_bpe
+from .shared import chunks, documents, modelled, small_batches, staged, utf8, word_bpe
 
 
 def _summed(text: str, flush: int = 200_000) -> Callable:
@@ -103,9 +103,10 @@ def token_counts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     Null and empty texts have 0 bytes and 0 tokens.  Rows with equal or null doc_id stay separate rows.
     Special strings inside a text count as the library's default counts them.  An empty table gives an
-    empty result.  hot: the pre-tokens that are summed without a shuffle, a bound of about 30 bytes each.
+    empty result.  A tokenizer that texts can't be cut for is refused (ValueError).  hot: the pre-tokens that are summed without a shuffle, a bound of about 30 bytes each.
     """
     spark = df.sparkSession
+    modelled(path)
     pieces = pretoken_table(df, path, text)
     top = pieces.orderBy(F.desc("n"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import documents, dropped, fresh_path, partitions, small_batches, staged, utf8, word_bpe
+from .shared import documents, dropped, fresh_path, modelled, partitions, small_batches, staged, utf8, word_bpe
 
 #: Bits of the shared frequencies' total; states are 64 bits wide and give off 32 at a time.
 BITS = 20
@@ -264,8 +264,10 @@ def write_token_files(df: DataFrame, at: str, tokenizer: str, end: int | None =
 
     Null and empty texts have no ids besides `end`.  Null doc_ids come first; rows with equal doc_id follow
     each other in the order of their ids.  An empty table gives empty files.
+    A tokenizer that texts can't be cut for is refused (ValueError).
     """
     spark = df.sparkSession
+    modelled(tokenizer)
     small_batches(spark)
     ids = staged(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_ids(tokenizer, end), "doc_id long, ids binary"), "ids")
     counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # at most one row for each id of the vocabulary

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -164,6 +165,23 @@ def test_media_files_are_tar_files_of_png(spark, tmp_path, bits):
     assert seen == len(index)
 
 
+def test_other_tokenizers_are_refused(spark, tmp_path):
+    with open(WORDS, encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"]["normalizers"].pop()  # no lower-casing
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    df = cases.frame(spark)
+    with pytest.raises(ValueError):
+        token_counts.token_counts(df, f"{tmp_path}/t.json")
+    with pytest.raises(ValueError):
+        token_files.write_token_files(df, f"{tmp_path}/out", f"{tmp_path}/t.json")
+
+
+@pytest.mark.parametrize("text", [" " * 70_000 + "x", "a" * 70_000, "ab, " * 20_000, "\n\t " * 30_000, "é " * 40_000 + " " * 6000 + "b", "1" * 66_000])
+def test_long_texts_without_safe_places(text):
+    assert tiktoken_codec.encode(_codec(), text) == _codec().encode_ordinary(text)
+
+
 def test_media_headers_are_read_without_the_payload(spark, tmp_path):
     index = media.stored(spark.createDataFrame([("a" * 200,), ("b",)], "text string"), f"file://{tmp_path}/m")
     for r in index.collect():  # spoil all that follows the headers
