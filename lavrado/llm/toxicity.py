@@ -1,15 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult (words and stems learned from labels, each with a weight), threat, target,
-negation, report or other.  Transducers are composed clause by clause: an insult or threat starts a match;
-a target close by makes it a directed one, a negation before it a negated one, a verb of saying before it
-a reported one.  Each kind of match sums its words' weights; a logistic model of the kinds' sums, fitted on
-labelled documents, gives the score.
+Words become symbols: insult (words and stems learned from labels, each with a weight), verb of harm, target,
+negation, verb of saying or other; marks become symbols too.  Three transducers (see grammar), for negation, reported
+speech and targets, are composed into one machine, and the best path through a line says what each insult and verb
+of harm is: plain, directed, negated, reported or a threat.  Each kind sums its words' weights; a logistic
+model of the kinds' sums, fitted on labelled documents, gives the score.
 
 Plan: a bounded hash sample of labelled rows; two aggregations find the words and stems whose log-odds of a
 toxic document are significant for this sample, a toxic document counting only with a context of its own so
 that copies of one text count once; a third gives the kinds' sums of the sample's rows; then a row-local pass
-over all texts.  What is sent out is at most MOST_STEMS words.
+over all texts.  What is sent out is the words and stems that are significant in the sample.
 """
 
 from __future__ import annotations
@@ -22,23 +22,29 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .grammar import NEAR, best, machine
 from .language_id import held_out
 from .shared import documents, small_batches, staged, table
 
 #: Labelled rows of each label that the lexicon and the weights are fitted on, in expectation.
 TRAIN_ROWS = 4000
-MOST_STEMS = 20_000
 #: Letters of the shortest stem.
 SHORT = 4
 KINDS = ("plain", "directed", "negated", "reported", "threat")
+WRITTEN = {z: k for k, z in enumerate("PDNRT")}
 
 # Fixed word lists, English, German, French and Spanish.
-THREAT = frozenset("kill hurt destroy beat punish töten verletzen zerstören schlagen tuer blesser détruire frapper matar herir destruir golpear".split())
-TARGET = frozenset("you your he she they him her them this is are du dein ihr er sie sind ist tu ton vous il elle ils est sont tú tu usted él ella ellos es son".split())
-NEGATION = frozenset("not never no nor nicht nie kein keine ne pas jamais aucun no nunca ni ningún".split())
-REPORT = frozenset("said says quoted wrote claims called sagte sagt schrieb behauptet dit écrit affirme dijo dice escribió afirma".split())
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+HARM = frozenset(
+    "kill killing murder stab shoot strangle hurt harm destroy crush beat punish burn töten töte umbringen bringe erschlagen verletzen zerstören schlagen verprügeln verbrennen"
+    " tuer tuerai blesser détruire frapper frapperai étrangler brûler punir matar mataré mato herir destruir golpear golpearé pegar quemar castigar".split()
+)
+TARGET = frozenset("you your he she they him her them this these are du dich dir dein deine ihr euch er sie sind tu te toi ton ta vous votre il elle ils elles lui tú ti tu usted ustedes él ella ellos ellas lo la les son".split())
+NEGATION = frozenset("not never no nor neither nicht nie niemals kein keine keiner weder pas jamais aucun aucune nunca ni ningún ninguna jamás".split())
+SAYING = frozenset("said says say quoted quotes wrote writes claimed claims called calls sagte sagt sagten schrieb schreibt behauptet behauptete dit disait écrit affirme prétend dijo dice decía escribió afirma afirmó".split())
+_MARKS = {**dict.fromkeys(".!?;", "e"), ",": "c", ":": "k", **dict.fromkeys('"“”„«»', "q")}
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r'[^\W\d_]+|[.!?;,:"“”„«»]')
+_NOT = re.compile(r"n['’]t\b")
 
 
 def stems(word: str, longest: int | None = None) -> list[str]:
@@ -61,38 +67,32 @@ def heads(lexicon: dict[str, float]) -> tuple[frozenset[str], int]:
 
 
 def matches(text: str, lexicon: dict[str, float], known: tuple[frozenset[str], int] | None = None) -> list[float]:
-    """The sum of weights of each kind of match in the text's clauses; `known` is heads(lexicon)."""
+    """The sum of weights of each kind of match in the text's lines; `known` is heads(lexicon)."""
     first, longest = known or heads(lexicon)
     out = [0.0] * len(KINDS)
-    low = text.lower()
-    for clause in _CLAUSE.split(low):
-        words = _WORD.findall(clause)
-        said, denied, aimed = -9, -9, -9
-        waiting: list[tuple[int, int, float]] = []  # matches a target may still follow
-        for i, w in enumerate(words):
-            weight = 0.0
-            if w[:SHORT] in first:
-                weight = max(lexicon.get(s, 0.0) for s in stems(w, longest))
-            if weight or w in THREAT:
-                if not weight:
-                    kind, weight = (4, 1.0)
-                elif i - denied <= 2:
-                    kind = 2
-                elif i - said <= 8:
-                    kind = 3
-                else:
-                    kind = 1 if i - aimed <= 3 else 0
-                waiting.append((i, kind, weight))
-            elif w in NEGATION:
-                denied = i
-            elif w in REPORT:
-                said = i
-            elif w in TARGET:
-                aimed = i
-                waiting = [(j, 1 if kind == 0 and i - j <= 3 else kind, x) for j, kind, x in waiting]
-        targeted = aimed >= 0
-        for _, kind, x in waiting:
-            if kind != 4 or targeted:  # a threat needs somebody it is aimed at
+
+    def weight(w: str) -> float:
+        return max(lexicon.get(s, 0.0) for s in stems(w, longest)) if w[:SHORT] in first else 0.0
+
+    for line in text.lower().splitlines():
+        found = {w: x for w in set(_WORD.findall(line)) if (x := weight(w)) or w in HARM}
+        if not found:
+            continue
+        symbols, weights, run = [], [], 0
+        for token in _TOKEN.findall(_NOT.sub(" not", line)):
+            x = found.get(token)
+            if x is not None:
+                symbol = "i" if x else "h"
+            elif token in _MARKS:
+                symbol = _MARKS[token]
+            else:
+                symbol = "n" if token in NEGATION else "r" if token in SAYING else "t" if token in TARGET else "w"
+            run = run + 1 if symbol == "w" else 0
+            if run <= NEAR + 1:  # so many other words in a row are like any larger number
+                symbols.append(symbol)
+                weights.append(x or 1.0)
+        for z, x in zip(best(machine(), "".join(symbols) + "z"), weights):
+            if (kind := WRITTEN.get(z)) is not None:
                 out[kind] += x
     return out
 
@@ -173,7 +173,10 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarr
 
 
 def fitted(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], np.ndarray]:
-    """(lexicon, weights) from a table of text and label (0 or 1; other rows are left out)."""
+    """(lexicon, weights) from a table of text and label (0 or 1; other rows are left out).
+
+    `rows` bounds the rows of each label that are learned from, in expectation; copies of a text are one row.
+    """
     spark = labelled.sparkSession
     small_batches(spark)
     usable = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
@@ -191,10 +194,10 @@ def fitted(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float
     part = lambda k, n, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
     t, c, both = F.col("toxic"), F.col("clean"), (F.col("toxic") + F.col("clean")) / (n0 + n1)
     judged = tried.where(t / n1 > c / n0).withColumn("evidence", 2 * (part(t, n1, t / n1) + part(c, n0, c / n0) - part(t, n1, both) - part(c, n0, both)))
-    likely = judged.where(F.col("evidence") >= bound).orderBy(F.desc("evidence"), "key").limit(MOST_STEMS).toPandas()
+    likely = judged.where(F.col("evidence") >= bound).toPandas()  # of the bounded sample
     wanted = spark.sparkContext.broadcast(frozenset(likely["key"].tolist()))
     contexts = sample.where("label = 1").select("text").mapInArrow(_in_context(wanted), "key long, stem string, context binary").groupBy("key", "stem").agg(F.countDistinct("context").alias("contexts"))
-    met = contexts.toPandas().merge(likely, on="key")  # at most MOST_STEMS rows
+    met = contexts.toPandas().merge(likely, on="key")
     own = np.minimum(met["toxic"], met["contexts"])
     weights = log_odds(own, met["clean"], n1, n0)
     lexicon = {s: float(x) for s, x, e in zip(met["stem"], weights, evidence(own, met["clean"], n1, n0)) if e >= bound}
