@@ -1,17 +1,16 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (A-Z lower-cased, all but a-z and 0-9 one space) and mapped
-to the identifier of a known licence sentence; the identifiers in order are matched against licence rules,
-first rule first, and a rule takes the identifiers that it matches.  Row-local: no shuffle, no join.
-
-Before the cut, official sentences (OFFICIAL), and known ones that are wrapped over lines of a paragraph,
-become lines of their own in the known wording: marks, line ends and comment signs between their words don't
-cut them.  The SQL has the scan without this step, for texts whose notices are on one line.
+A text is normalised to words and ends: A-Z lower-cased, all but a-z and 0-9 one space; marks before white space,
+line ends and empty lines become signs of their own.  A known licence sentence that lies between two ends, or an
+official one anywhere, becomes its identifier, in its place; line ends (comment signs at their sides are no words)
+don't cut a sentence, and marks don't cut an official one.  The identifiers in order are matched against
+licence rules, first rule first, and a rule takes the identifiers that it matches.  A sentence that is left and
+speaks of a licence is reported as unknown.  Row-local: no shuffle, no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import documents
 
@@ -41,6 +40,8 @@ SENTENCES = {
 }
 # Licence rules in order; a rule's identifiers have to follow each other.
 RULES = [
+    ("BSD-3-Clause", ["BSDredist", "BSDsource", "BSDbinary", "BSDnames", "BSDasis"]),
+    ("BSD-2-Clause", ["BSDredist", "BSDsource", "BSDbinary", "BSDasis"]),
     ("MIT", ["MITgrant", "MITnotice", "AsIsCaps"]),
     ("MIT", ["MITgrant", "MITnotice"]),
     ("Apache-2.0", ["Apache2", "ApacheUse", "ApacheCopy"]),
@@ -48,6 +49,12 @@ RULES = [
     ("GPL", ["GPLfree", "GPLhope"]),
     ("MIT", ["MITrel"]),
     ("Apache-2.0", ["Apache2"]),
+    ("Apache-2.0", ["Apache2text"]),
+    ("GPL-3.0", ["GPL3text"]),
+    ("GPL-2.0", ["GPL2text"]),
+    ("LGPL-3.0", ["LGPL3text"]),
+    ("AGPL-3.0", ["AGPL3text"]),
+    ("MPL-2.0", ["MPL2text"]),
     ("GPL-3.0", ["GPL3"]),
     ("GPL-2.0", ["GPL2"]),
     ("LGPL-3.0", ["LGPL3"]),
@@ -62,6 +69,7 @@ RULES = [
     ("Proprietary", ["Reserved"]),
 ]
 # Whole sentences as published, normalised, by identifier; a rarer word of each is looked for first.
+# They are long enough to be told without their ends.
 OFFICIAL = [
     ("MITgrant", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("MITnotice", "substantial", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
@@ -70,46 +78,66 @@ OFFICIAL = [
     ("GPLfree", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("GPLfree", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
     ("GPLhope", "merchantability", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("Apache2", "apache", "licensed under the apache license version 2 0 the license"),
+    ("ApacheUse", "compliance", "you may not use this file except in compliance with the license"),
+    ("ApacheCopy", "obtain", "you may obtain a copy of the license at"),
+    ("BSDredist", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("BSDsource", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("BSDbinary", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("BSDnames", "endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDasis", "disclaimed", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("Apache2text", "apache", "apache license version 2 0 january 2004"),
+    ("GPL3text", "june", "gnu general public license version 3 29 june 2007"),
+    ("GPL2text", "june", "gnu general public license version 2 june 1991"),
+    ("LGPL3text", "lesser", "gnu lesser general public license version 3 29 june 2007"),
+    ("AGPL3text", "affero", "gnu affero general public license version 3 19 november 2007"),
+    ("MPL2text", "mozilla", "mozilla public license version 2 0 1 definitions"),
     ("MPL2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at marks before white space or the end, and at a line's end.
-_END = "[.!?;]+[ \\t\\r\\f]+|[.!?;]*\\n|[.!?;]+$"
+#: Signs of an empty line, a line end and a mark.  Each is written twice, so that two sentences can have one each.
+GAP, LINE, MARK = "\x01", "\x02", "\x03"
+#: Words of sentences that speak of a licence.
+SPEAKS = ("license", "licence", "licensed", "licenses", "licences", "sublicense", "copyright", "copyrighted", "copyleft")
+#: (pattern, what comes in its place), in turn, for lower-cased texts without the three signs.
+NORMAL = [("[.!?;:]([ \t\r\f\x0b\n]|$)", f" {MARK} {MARK} $1"), ("\n[^a-z0-9\n]*\n", f"\n{GAP} {GAP}\n"), ("\n", f" {LINE} {LINE} "), ("[^a-z0-9\x01-\x03]+", " ")]
 
 
 def known_sentences() -> dict[str, str]:
     return {wording: name for name, wordings in SENTENCES.items() for wording in wordings}
 
 
-def whole_sentences() -> list[tuple[str, str, str]]:
-    """(word, pattern, line): what stands for a sentence whatever is between its words, but for an empty line."""
-    # Between words: other signs, with single line ends (and signs that start a comment's line) among them.
-    gap = r"(?=[^a-z0-9])[^a-z0-9\n]*+(?:\n(?![^a-z0-9\n]*+(?:\n|$))[^a-z0-9\n]*+)?+"
-    start = r"(?:^|(?<=\n)|(?<=[a-z0-9])(?=[^a-z0-9\n]*[.!?;:]))[^a-z0-9\n]*+"
-    end = r"(?=[^a-z0-9\n]*[.!?;:\n]|[^a-z0-9\n]*$)"
-    # An official sentence is long enough to be told without its ends; a known one has to be the whole sentence.
-    every = [(*x, r"(?<![a-z0-9])", r"(?![a-z0-9])") for x in OFFICIAL] + [(name, max(wording.split(), key=len), wording, start, end) for wording, name in known_sentences().items()]
-    short = {}
+def replacements() -> list[tuple[str, str, str]]:
+    """(word, pattern, what comes in its place) of each sentence, in order; the patterns mean the same in Java and RE2."""
+    out = [(word, "\\b" + "(?: [\x02\x03]){0,4} ".join(wording.split()) + "\\b", f"{MARK} {MARK} <{name}> {MARK} {MARK}") for name, word, wording in OFFICIAL]
     for wording, name in known_sentences().items():
-        short.setdefault(name, wording)
-    return [(word, a + gap.join(wording.split()) + b, f"\n{short[name]}\n") for name, word, wording, a, b in every]
+        out.append((max(wording.split(), key=len), "[\x01-\x03] " + "(?: \x02){0,2} ".join(wording.split()) + " [\x01-\x03]", f"{MARK} <{name}> {MARK}"))
+    return out
+
+
+def _identified(text: Column) -> Column:
+    """The normalised text with identifiers, `<name>`, in the places of sentences."""
+    out = F.replace(F.translate(F.coalesce(text, F.lit("")), _UPPER + GAP + LINE + MARK, _LOWER + "   "), F.lit("\r\n"), F.lit("\n"))
+    for pattern, to in NORMAL[:-1]:
+        out = F.regexp_replace(out, pattern, to)
+    ends = F.lit(f"{GAP} {GAP} "), F.lit(f" {GAP} {GAP}")
+    whole = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(p).alias("pattern"), F.lit(x).alias("to")) for w, p, x in replacements()])
+    return F.aggregate(whole, F.regexp_replace(F.concat(ends[0], out, ends[1]), *NORMAL[-1]), lambda t, s: F.when(F.contains(t, s["word"]), F.regexp_replace(t, s["pattern"], s["to"])).otherwise(t))
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_known, sentence_ids, licences, n_unmatched for each row of df.
+    """doc_id, n_known, sentence_ids, licences, n_unmatched, unknown for each row of df.
 
     sentence_ids: identifiers in order of the text, `;` between; licences: what the rules found, in order of
-    the rules and each once, `;` between; n_unmatched: identifiers that no rule took.  Null and empty texts
-    have none.  Rows with equal doc_id stay separate rows; an empty table gives an empty result.
+    the rules and each once, `;` between; n_unmatched: identifiers that no rule took; unknown: the sentences, as
+    words, that speak of a licence and aren't known, in order.  Null and empty texts have none.  Rows with
+    equal doc_id stay separate rows; an empty table gives an empty result.
     """
-    known = F.create_map([F.lit(x) for pair in known_sentences().items() for x in pair])
-    low = F.replace(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit("\r\n"), F.lit("\n"))
-    whole = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(p).alias("pattern"), F.lit(x).alias("line")) for w, p, x in whole_sentences()])
-    lined = F.aggregate(whole, low, lambda t, s: F.when(F.contains(t, s["word"]), F.regexp_replace(t, s["pattern"], s["line"])).otherwise(t))
-    flat = F.regexp_replace(F.regexp_replace(lined, _END, "\n"), "[^a-z0-9\n]+", " ")
-    # Only the few sentences of a known one's words are looked up.
-    ids = F.filter(F.transform(F.split(flat, "\n"), lambda s: known[F.trim(s)]), lambda x: x.isNotNull())
-    found = df.select(F.col(doc_id).alias("doc_id"), ids.alias("ids"))
+    speaks = f"\\b(?:{'|'.join(SPEAKS)})\\b"
+    found = df.select(F.col(doc_id).alias("doc_id"), F.transform(F.array(_identified(F.col(text))), lambda t: F.struct(F.regexp_extract_all(t, F.lit("<([A-Za-z0-9]+)>"), F.lit(1)).alias("ids"), F.when(t.rlike(speaks), t).alias("left")))[0].alias("f"))
+    left = F.transform(F.split(F.regexp_replace("f.left", "<[A-Za-z0-9]+>", MARK), "[\x01\x03]"), lambda x: F.trim(F.regexp_replace(x, "[ \x02]+", " ")))
+    unknown = F.coalesce(F.filter(left, lambda x: x.rlike(speaks)), F.array().cast("array<string>"))
+    found = found.select("doc_id", F.col("f.ids").alias("ids"), unknown.alias("unknown"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in own)).alias("own")) for name, own in RULES])
     start = F.struct(F.concat(F.lit(""), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")).alias("left"), F.array().cast("array<string>").alias("names"))
     step = lambda a, r: F.struct(F.replace(a["left"], r["own"], F.lit("|")).alias("left"), F.when(F.contains(a["left"], r["own"]), F.array_append(a["names"], r["name"])).otherwise(a["names"]).alias("names"))
@@ -117,28 +145,35 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     out = found.withColumn("m", matched)
     names = F.coalesce(F.array_join(F.array_distinct(F.col("m.names")), ";"), F.lit(""))
     left = F.coalesce(F.length(F.regexp_replace(F.col("m.left"), "[^<]", "")), F.lit(0)).cast("long")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ";").alias("sentence_ids"), names.alias("licences"), left.alias("n_unmatched"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ";").alias("sentence_ids"), names.alias("licences"), left.alias("n_unmatched"), "unknown")
 
 
 def sql() -> str:
-    """The scan of `documents` as DuckDB SQL."""
+    """The scan of `documents` as DuckDB SQL, with the number of unknown sentences."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    keys, values = (", ".join(q(x) for x in part) for part in zip(*known_sentences().items()))
-    end = "E'[.!?;]+[ \\\\t\\\\r\\\\f]+|[.!?;]*\\\\n|[.!?;]+$'"
-    steps, last = [], "r0"
+    # Escapes stand for the signs and white space, in patterns and in what is put in.
+    shown = lambda s: s.replace("\x01", "\\x01").replace("\x02", "\\x02").replace("\x03", "\\x03").replace("\t", "\\t").replace("\r", "\\r").replace("\f", "\\f").replace("\x0b", "\\x0b").replace("\n", "\\n")
+    pattern, put = lambda s: q(shown(s)), lambda s: "E" + q(shown(s).replace("$1", "\\\\1"))
+    normal = f"replace(translate(coalesce(text, ''), E'{_UPPER}\\x01\\x02\\x03', '{_LOWER}   '), E'\\r\\n', E'\\n')"
+    for p, to in NORMAL[:-1]:
+        normal = f"regexp_replace({normal}, {pattern(p)}, {put(to)}, 'g')"
+    normal = f"regexp_replace(E'\\x01 \\x01 ' || {normal} || E' \\x01 \\x01', {pattern(NORMAL[-1][0])}, ' ', 'g')"
+    steps = [f"t0 AS MATERIALIZED (SELECT doc_id, {normal} AS t FROM documents)"]
+    every = replacements()
+    for k, (word, p, to) in enumerate(every, 1):
+        steps.append(f"t{k} AS (SELECT doc_id, CASE WHEN contains(t, {q(word)}) THEN regexp_replace(t, {pattern(p)}, {put(to)}, 'g') ELSE t END AS t FROM t{k - 1})")
+    speaks = f"\\b(?:{'|'.join(SPEAKS)})\\b"
+    steps.append(f"i AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, '<([A-Za-z0-9]+)>', 1) AS ids, len(list_filter(string_split_regex(regexp_replace(t, '<[A-Za-z0-9]+>', E'\\x03', 'g'), '[\\x01\\x03]'), lambda x: regexp_matches(x, '{speaks}'))) AS n_unknown FROM t{len(every)})")
+    steps.append("r0 AS (SELECT doc_id, ids, n_unknown, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS l, CAST([] AS VARCHAR[]) AS names FROM i)")
     for k, (name, own) in enumerate(RULES, 1):
         mark = q("".join(f"<{i}>" for i in own))
-        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(l, {mark}, '|') AS l, CASE WHEN contains(l, {mark}) THEN list_append(names, {q(name)}) ELSE names END AS names FROM {last})")
-        last = f"r{k}"
-    return f"""WITH k AS (SELECT MAP([{keys}], [{values}]) AS m),
-s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {end}, chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS parts FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: k.m[trim(x)]), lambda x: x IS NOT NULL) AS ids FROM s, k),
-r0 AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS l, CAST([] AS VARCHAR[]) AS names FROM i),
-{", ".join(steps)}
+        steps.append(f"r{k} AS (SELECT doc_id, ids, n_unknown, replace(l, {mark}, '|') AS l, CASE WHEN contains(l, {mark}) THEN list_append(names, {q(name)}) ELSE names END AS names FROM r{k - 1})")
+    listed = "\n".join(f"{x}," for x in steps).rstrip(",")
+    return f"""WITH {listed}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ';'), '') AS sentence_ids,
  coalesce(array_to_string(list_transform(list_filter(list_zip(names, range(1, len(names) + 1)), lambda x: list_position(names, x[1]) = x[2]), lambda x: x[1]), ';'), '') AS licences,
- CAST(length(regexp_replace(l, '[^<]', '', 'g')) AS BIGINT) AS n_unmatched FROM {last}"""
+ CAST(length(regexp_replace(l, '[^<]', '', 'g')) AS BIGINT) AS n_unmatched, CAST(n_unknown AS BIGINT) AS n_unknown FROM r{len(RULES)}"""
 
 
 def op1_licence_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir)).withColumn("n_unknown", F.size("unknown").cast("long")).drop("unknown")

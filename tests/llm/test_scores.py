@@ -1,10 +1,11 @@
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lavrado.llm import language_id, licences, toxicity
+from lavrado.llm import grammar, language_id, licences, toxicity
 from lavrado.llm.queries import oracle_sql, queries
 
 from . import cases
@@ -80,19 +81,69 @@ GPL = """    This program is free software: you can redistribute it and/or modif
 """
 
 
+BSD3 = BSD + """
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+BSD2 = BSD3[: BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS SOFTWARE") :]
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+GPL2_TERMS = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n"
+GPL3_TERMS = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"
+APACHE_TERMS = "                                 Apache License\n                           Version 2.0, January 2004\n"
+
+
+def scanned(spark, rows):
+    """The scan in Spark; it has to be what the SQL gives."""
+    got = sorted((tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "n_known", "sentence_ids", "licences", "n_unmatched", "cast(size(unknown) as bigint)").collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert got == sorted(con.sql(licences.sql()).fetchall(), key=repr)
+    return {r[0]: dict(zip(("n_known", "sentence_ids", "licences", "n_unmatched", "n_unknown"), r[1:])) for r in got}
+
+
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_licences_of_whole_wrapped_texts(spark, end):
     comment = lambda t: "/*\n" + "".join(f" * {x}\n" if x else " *\n" for x in t.split("\n")) + " */\nint main;"
+    every = lambda t: [t, comment(t), t.replace("\n", " "), "Some intro.\n\n" + t.upper()]
     gpl2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
     negated = "This project is not licensed under the\nMIT License."
     parts = "Licensed under the Apache License,\n\nVersion 2.0"
-    texts = {"MIT": [MIT, comment(MIT), MIT.replace("\n", " ")], "BSD": [BSD, comment(BSD)], "MPL-2.0": [MPL, comment(MPL), MPL.replace("\n", " ")], "GPL": [GPL, comment(GPL), gpl2], "": [negated, parts, "licensed" + " " * 100_000 + "under. " + "." * 100_000]}
+    texts = {
+        "MIT": every(MIT), "BSD": [BSD, comment(BSD)], "BSD-3-Clause": every(BSD3), "BSD-2-Clause": every(BSD2), "MPL-2.0": every(MPL), "GPL": [*every(GPL), *every(gpl2)], "Apache-2.0": [*every(APACHE), *every(APACHE_TERMS)],
+        "GPL-2.0": every(GPL2_TERMS), "GPL-3.0": every(GPL3_TERMS), "": [negated, parts, "licensed" + " " * 100_000 + "under. " + "." * 100_000, "\n" * 100_000 + "license", "\x01 <MITrel> \x03"],
+    }
     rows = [(i, t.replace("\n", end), want) for i, (t, want) in enumerate((t, want) for want, own in texts.items() for t in own)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
-    got = licences.scan(df).join(df, "doc_id").collect()
-    assert {r.doc_id: r.licences for r in got} == {r.doc_id: r.want for r in got}
-    assert next(r for r in got if r.doc_id == 0).sentence_ids == "MITgrant;MITnotice;AsIsCaps"
-    assert all(r.n_unmatched == 0 for r in got)
+    got = scanned(spark, [r[:2] for r in rows])
+    assert {i: r["licences"] for i, r in got.items()} == {i: want for i, _, want in rows}
+    assert got[0]["sentence_ids"] == "MITgrant;MITnotice;AsIsCaps"
+    assert all(r["n_unmatched"] == (1 if want == "BSD" else 0) for r, (_, _, want) in zip((got[i] for i in sorted(got)), rows))
+
+
+def test_unknown_licence_sentences_are_reported(spark):
+    rows = [(1, "Use is granted under the Foo\nPublic License 1.1. The end."), (2, "All rights reserved. All rights reserved.\nAll rights reserved"), (3, "A licensee walks."), (4, None), (5, "")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].unknown == ["use is granted under the foo public license 1 1"] and got[2].sentence_ids == "Reserved;Reserved;Reserved"
+    assert got[2].unknown == got[3].unknown == got[4].unknown == got[5].unknown == []
+    scanned(spark, rows)
 
 
 def test_language_id_on_held_out_rows(spark, sf_dir):
@@ -177,9 +228,36 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_clause_grammar():
     lexicon = {"fool": 2.0}
-    kinds = lambda t: dict(zip(toxicity.KINDS, toxicity.matches(t, lexicon)))
-    assert kinds("a fool walks")["plain"] == 2
-    assert kinds("you fool")["directed"] == 2
-    assert kinds("not a fool")["negated"] == 2
-    assert kinds("she said: nothing. He said that one is a fool")["reported"] == 2
-    assert kinds("i will kill you")["threat"] == 1 and kinds("kill the process")["threat"] == 0
+    kinds = lambda t: {k: x for k, x in zip(toxicity.KINDS, toxicity.matches(t, lexicon)) if x}
+    assert kinds("a fool walks") == {"plain": 2}
+    assert kinds("you fool") == kinds("what a fool you are") == {"directed": 2}
+    assert kinds("fool and more words between you") == {"plain": 2}
+    assert kinds("not a fool") == kinds("you aren't a fool") == {"negated": 2} and kinds("no, you fool") == {"directed": 2}
+    assert kinds("She said: nothing. He said that one is a fool") == {"reported": 2}
+    assert kinds('he said: "you are a fool"') == {"reported": 2}
+    assert kinds('he said: "go home. you are a fool". you fool') == {"reported": 2, "directed": 2}
+    assert kinds('"you are a fool", the man said') == {"reported": 2} and kinds('"you are a fool", the man left') == {"directed": 2}
+    assert kinds("i will kill you") == {"threat": 1} and kinds("kill the process") == {}
+    assert kinds("i will not kill you") == {"negated": 1}
+    assert kinds("she said he will kill you") == {"reported": 1}
+    assert kinds("kill the process. you fool") == {"directed": 2}
+    assert kinds("you " + "word " * 50 + "fool\nyou") == {"plain": 2}
+
+
+def test_composed_machine_against_the_machines_in_turn():
+    """All paths of each machine, one machine after the other, over random symbols."""
+
+    def paths(m, symbols):
+        live = [(m.start, 0, "")]
+        for x in symbols:
+            live = [(after, w + v, out + z) for state, w, out in live for z, v, after in m.arcs.get(state, {}).get(x, [])]
+        return {(w, out) for state, w, out in live if state in m.final}
+
+    draw = random.Random(8)
+    parts = [grammar.negation(), grammar.report(), grammar.target()]
+    for _ in range(400):
+        symbols = "".join(draw.choice("iihttnrwwckqqe") for _ in range(draw.randint(1, 9))) + "z"
+        found = {(w + v + u, c) for w, a in paths(parts[0], symbols) for v, b in paths(parts[1], a) for u, c in paths(parts[2], b)}
+        most = max(w for w, _ in found)
+        got = grammar.best(grammar.machine(), symbols)
+        assert (most, got) in found, symbols
