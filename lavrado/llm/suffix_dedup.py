@@ -29,6 +29,8 @@ from .shared import documents, partitions, small_batches, staged, utf8
 ANCHOR = 32
 #: Contexts of one anchor in one shard, and bytes of contexts that are sorted at once.
 SHARD, TOGETHER = 4096, 1 << 20
+#: Bytes of text that are hashed at once (about a hundred bytes of memory for each).
+PIECE = 1 << 20
 #: Ranges of keys, at least, that a shard's windows are cut into.
 RANGES = 64
 
@@ -61,18 +63,40 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     return first[heads], np.diff(np.append(heads, len(own))) + length - 1, at, h[at]
 
 
+def pieces(texts: list[bytes], length: int, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text number, place, bytes) of all texts, in lists of about `most` bytes.  A longer text is cut into pieces
+    that share length - 1 bytes, so each window of `length` bytes is in one of them."""
+    out: list[tuple[int, int, bytes]] = []
+    held = 0
+    for k, x in enumerate(texts):
+        for at in range(0, max(1, len(x) - length + 1), most):
+            out.append((k, at, x[at : at + most + length - 1]))
+            held += len(out[-1][2])
+            if held >= most:
+                yield out
+                out, held = [], 0
+    if out:
+        yield out
+
+
 def _anchored(length: int, k: int) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts = [x or b"" for x in utf8(batch.column("text"))]
-            ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-            starts = ends - np.array([len(x) for x in texts], dtype=np.int64)
-            first, size, at, h = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), starts, ends, length, k)
-            owner = np.searchsorted(ends, first, side="right")
+            found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(5)]
+            for some in pieces(texts, length, PIECE):
+                ends = np.cumsum([len(x) for _, _, x in some], dtype=np.int64)
+                starts = ends - np.array([len(x) for _, _, x in some], dtype=np.int64)
+                first, size, at, h = anchors(np.frombuffer(b"".join(x for _, _, x in some), dtype=np.uint8), starts, ends, length, k)
+                piece = np.searchsorted(ends, first, side="right")
+                row, place = (np.array([x[j] for x in some], dtype=np.int64) for j in (0, 1))
+                for col, v in zip(found, (row[piece], h.view(np.int64), first - starts[piece] + place[piece], at - first, size)):
+                    col.append(v)
+            owner, h, start, before, size = (np.concatenate(c) for c in found)
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (h.astype(np.int64), first - starts[owner], (at - first).astype(np.int32), size.astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (h, start, before.astype(np.int32), size.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([len(x) for x in texts], pa.int64()), *lists],
                 ["doc_id", "digest", "sha256", "n_bytes", "anchor", "start", "before", "size"],

@@ -1,5 +1,6 @@
 import hashlib
 import pickle
+import random
 
 import numpy as np
 import pytest
@@ -40,6 +41,25 @@ def test_near_dedup_links_chains_in_one_bucket(spark):
     assert cases.table(got) == sorted(cases.near(rows, 2), key=repr)
 
 
+def test_near_dedup_without_common_shingles(spark, sf_dir, monkeypatch):
+    """What is common and what isn't take different ways to the same links."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for group in range(6):
+        base = [draw.choice(words) for _ in range(60)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(draw.randint(0, 5)):
+                copy[draw.randrange(60)] = draw.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    want = sorted(cases.near(rows, 2), key=repr)
+    assert 6 <= sum(r[3] for r in want) < len(rows)
+    for common in (0, 2, 10**6):
+        monkeypatch.setattr(near_dedup, "COMMON", common)
+        assert cases.table(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)) == want
+
+
 def test_least_matches_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(1)
     steps = near_dedup.least_matches(0.8, 1e-6)
@@ -111,6 +131,15 @@ def test_windows_meet_across_shards(spark, monkeypatch, shard):
     assert cases.table(got) == sorted(cases.cut_repeats(rows, 60), key=repr)
 
 
+@pytest.mark.parametrize("piece", [1, 64, 500])
+def test_long_texts_are_hashed_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(400))
+    rows = [(1, "x" * 100 + passage), (2, passage[37:] + "y" * 90), (3, "ab" * 120), (4, ""), (5, "short"), (6, passage[:60])]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=60)
+    assert cases.table(got) == sorted(cases.cut_repeats(rows, 60), key=repr)
+
+
 def test_merged_runs_are_keys_of_two_runs():
     draw = np.random.default_rng(3)
     sets = [{bytes(draw.integers(0, 2, 16, dtype=np.uint8)) for _ in range(n)} for n in (400, 1, 0, 700, 90)]
