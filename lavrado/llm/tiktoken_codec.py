@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,7 +54,7 @@ def encode(codec, text: str, size: int = PART) -> list[int]:
     return [i for part in parts(text, size) for i in codec.encode_ordinary(part)]
 
 
-def _digests(path: str, pattern: str) -> Callable:
+def _digests(path: str, pattern: str, keep: bool) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import hashlib
 
@@ -64,7 +65,7 @@ def _digests(path: str, pattern: str) -> Callable:
             if codec is None:
                 codec = encoding(path, pattern)
                 names = list(map(str, range(codec.n_vocab)))
-            n, ids_sha, text_sha, whole = [], [], [], []
+            n, ids_sha, text_sha, whole, kept = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = encode(codec, text) if text else []
                 back = codec.decode_bytes(ids)
@@ -72,7 +73,10 @@ def _digests(path: str, pattern: str) -> Callable:
                 ids_sha.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(back).hexdigest())
                 whole.append(back == (text or "").encode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(whole)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+                if keep:
+                    kept.append(array("I", ids).tobytes())
+            more = {"ids": pa.array(kept, pa.binary())} if keep else {}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(whole), *more.values()], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", *more])
 
     return run
 
@@ -102,14 +106,15 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
     return df.withColumn(out, back(F.col(ids)))
 
 
-def token_digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip for each row of df.
+def token_digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip for each row of df; if `keep`, ids too, as bytes of
+    little-endian unsigned 32-bit integers.
 
     Null and empty texts have no tokens and the digests of nothing.  Rows with equal doc_id stay separate
     rows; an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_digests(path, pattern, keep), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", ids binary" if keep else ""))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
