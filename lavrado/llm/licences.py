@@ -134,7 +134,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     equal doc_id stay separate rows; an empty table gives an empty result.
     """
     speaks = f"\\b(?:{'|'.join(SPEAKS)})\\b"
-    found = df.select(F.col(doc_id).alias("doc_id"), F.transform(F.array(_identified(F.col(text))), lambda t: F.struct(F.regexp_extract_all(t, F.lit("<([A-Za-z0-9]+)>"), F.lit(1)).alias("ids"), F.when(t.rlike(speaks), t).alias("left")))[0].alias("f"))
+    # A text without any of these words has neither a known sentence nor an unknown one, so it isn't normalised.
+    telling = F.col(text).rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted({*SPEAKS, *[w for w, _, _ in replacements()]}))})(?![a-z0-9])")
+    found = df.select(F.col(doc_id).alias("doc_id"), F.transform(F.array(_identified(F.when(telling, F.col(text)))), lambda t: F.struct(F.regexp_extract_all(t, F.lit("<([A-Za-z0-9]+)>"), F.lit(1)).alias("ids"), F.when(t.rlike(speaks), t).alias("left")))[0].alias("f"))
     left = F.transform(F.split(F.regexp_replace("f.left", "<[A-Za-z0-9]+>", MARK), "[\x01\x03]"), lambda x: F.trim(F.regexp_replace(x, "[ \x02]+", " ")))
     unknown = F.coalesce(F.filter(left, lambda x: x.rlike(speaks)), F.array().cast("array<string>"))
     found = found.select("doc_id", F.col("f.ids").alias("ids"), unknown.alias("unknown"))
