@@ -44,6 +44,7 @@ SAYING = frozenset("said says say quoted quotes wrote writes claimed claims call
 _MARKS = {**dict.fromkeys(".!?;", "e"), ",": "c", ":": "k", **dict.fromkeys('"“”„«»', "q")}
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r'[^\W\d_]+|[.!?;,:"“”„«»]')
+_QUOTE, _END = re.compile('["“”„«»]'), re.compile("[.!?;]+")
 _NOT = re.compile(r"n['’]t\b")
 
 
@@ -66,35 +67,59 @@ def heads(lexicon: dict[str, float]) -> tuple[frozenset[str], int]:
     return frozenset(s[:SHORT] for s in lexicon), max((len(s) - 1 for s in lexicon if s.endswith("*")), default=0)
 
 
-def matches(text: str, lexicon: dict[str, float], known: tuple[frozenset[str], int] | None = None) -> list[float]:
-    """The sum of weights of each kind of match in the text's lines; `known` is heads(lexicon)."""
-    first, longest = known or heads(lexicon)
-    out = [0.0] * len(KINDS)
-
-    def weight(w: str) -> float:
-        return max(lexicon.get(s, 0.0) for s in stems(w, longest)) if w[:SHORT] in first else 0.0
-
-    for line in text.lower().splitlines():
-        found = {w: x for w in set(_WORD.findall(line)) if (x := weight(w)) or w in HARM}
-        if not found:
-            continue
-        symbols, weights, run = [], [], 0
-        for token in _TOKEN.findall(_NOT.sub(" not", line)):
-            x = found.get(token)
-            if x is not None:
-                symbol = "i" if x else "h"
-            elif token in _MARKS:
-                symbol = _MARKS[token]
+class Matcher:
+    """The sum of weights of each kind of match in a text's lines."""
+
+    def __init__(self, lexicon: dict[str, float], most: int = 200_000) -> None:
+        self.lexicon, (self.first, self.longest) = lexicon, heads(lexicon)
+        self.seen: dict[str, float | None] = {}
+        self.most = most
+
+    def weight(self, word: str) -> float | None:
+        """An insult's weight, 0 for a verb of harm, else None; looked up once a word, for `most` words at a time."""
+        if word in self.seen:
+            return self.seen[word]
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+        found = max(self.lexicon.get(s, 0.0) for s in stems(word, self.longest)) if word[:SHORT] in self.first else 0.0
+        self.seen[word] = found if found else 0.0 if word in HARM else None
+        return self.seen[word]
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """Lines, and sentences of lines without a quotation, as only that goes on from one sentence to the next."""
+        for line in text.splitlines():
+            if _QUOTE.search(line):
+                yield line
             else:
-                symbol = "n" if token in NEGATION else "r" if token in SAYING else "t" if token in TARGET else "w"
-            run = run + 1 if symbol == "w" else 0
-            if run <= NEAR + 1:  # so many other words in a row are like any larger number
-                symbols.append(symbol)
-                weights.append(x or 1.0)
-        for z, x in zip(best(machine(), "".join(symbols) + "z"), weights):
-            if (kind := WRITTEN.get(z)) is not None:
-                out[kind] += x
-    return out
+                yield from _END.split(line)
+
+    def __call__(self, text: str) -> list[float]:
+        out = [0.0] * len(KINDS)
+        for part in self.stretches(text.lower()):
+            found = {w: x for w in set(_WORD.findall(part)) if (x := self.weight(w)) is not None}
+            if not found:
+                continue
+            symbols, weights, run = [], [], 0
+            for token in _TOKEN.findall(_NOT.sub(" not", part)):
+                x = found.get(token)
+                if x is not None:
+                    symbol = "i" if x else "h"
+                elif token in _MARKS:
+                    symbol = _MARKS[token]
+                else:
+                    symbol = "n" if token in NEGATION else "r" if token in SAYING else "t" if token in TARGET else "w"
+                run = run + 1 if symbol == "w" else 0
+                if run <= NEAR + 1:  # so many other words in a row are like any larger number
+                    symbols.append(symbol)
+                    weights.append(x or 1.0)
+            for z, x in zip(best(machine(), "".join(symbols) + "z"), weights):
+                if (kind := WRITTEN.get(z)) is not None:
+                    out[kind] += x
+        return out
+
+
+def matches(text: str, lexicon: dict[str, float]) -> list[float]:
+    return Matcher(lexicon)(text)
 
 
 def _tallied(batches: Iterator) -> Iterator:
@@ -131,10 +156,10 @@ def _summed(model) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        match = None
         for batch in batches:
-            own = model.value
-            known = heads(own)
-            rows = [matches(t, own, known) if t else [0.0] * len(KINDS) for t in batch.column("text").to_pylist()]
+            match = match or Matcher(model.value)
+            rows = [match(t) if t else [0.0] * len(KINDS) for t in batch.column("text").to_pylist()]
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, pa.list_(pa.float64()))], [*kept, "kinds"])
 

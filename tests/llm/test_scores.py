@@ -244,6 +244,15 @@ def test_clause_grammar():
     assert kinds("you " + "word " * 50 + "fool\nyou") == {"plain": 2}
 
 
+def test_sentences_by_themselves_are_like_a_whole_line(monkeypatch):
+    draw = random.Random(6)
+    words = ["fool", "kill", "you", "not", "said", "word", "other", ",", ":", ".", "!", "things"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 40))) for _ in range(300)]
+    apart = [toxicity.matches(t, {"fool": 2.0}) for t in texts]
+    monkeypatch.setattr(toxicity.Matcher, "stretches", lambda self, text: text.splitlines())
+    assert apart == [toxicity.matches(t, {"fool": 2.0}) for t in texts]
+
+
 def test_composed_machine_against_the_machines_in_turn():
     """All paths of each machine, one machine after the other, over random symbols."""
 
