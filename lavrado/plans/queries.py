@@ -189,6 +189,14 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(_table(spark, sf_dir, "events"))
 
 
+def job_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.create_map(*[F.lit(x) for pair in _STATE.items() for x in pair])[F.col("event_type")]
+    id_ = F.col("event_id").cast("string")
+    payload = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"status": "error", "error_code": "E'), id_, F.lit('", "message": "m"}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"status": "success", "n": '), id_, F.lit("}"))).otherwise("")
+    r = ingest.job_response(state, payload)
+    return _table(spark, sf_dir, "events").select("event_id", F.explode(F.array(r)).alias("r")).select("event_id", "r.*")
+
+
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = ingest.stream_folder(spark)
     schema = _table(spark, sf_dir, "events").schema
@@ -196,7 +204,7 @@ def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_available(spark, source, _jobs, f"{at}/out", f"{at}/state")
 
 
-QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, *services.QUERIES]
+QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, job_responses, *services.QUERIES]
 
 
 def queries() -> dict:
@@ -247,6 +255,10 @@ def oracle_sql() -> dict[str, str]:
  regexp_replace(regexp_replace(array_to_string(list_transform(list_transform(string_split_regex(text, '{_ENDS}'), lambda x: regexp_replace(x, '{_SPACE}+$', '')), lambda x: CASE WHEN regexp_full_match(regexp_replace(x, '^{_SPACE}+', ''), '{_HEADING}') AND len(regexp_extract_all(x, '[^ ]+')) BETWEEN 3 AND 10 THEN '## ' || regexp_replace(x, '^{_SPACE}+', '') ELSE x END), chr(10)), '^\\n+', chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM documents)""",
         "section_slice": "SELECT o_orderkey, 'Prestador do Serviço' || chr(10) || 'nome ' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) ELSE '' END AS section FROM orders",
         "job_states": f"SELECT event_id, {states} AS state FROM events",
+        "job_responses": """SELECT event_id, CASE WHEN s = 'FAILURE' THEN 'failed' WHEN s = 'SUCCESS' THEN CASE WHEN k = 0 THEN 'failed' ELSE 'succeeded' END WHEN s IN ('STARTED', 'RETRY') THEN 'processing' ELSE 'queued' END AS state,
+ CASE WHEN s = 'FAILURE' THEN 'TASK_FAILED' WHEN s = 'SUCCESS' AND k = 0 THEN 'E' || event_id END AS error_code, CASE WHEN s = 'FAILURE' THEN CASE WHEN p = '' THEN 'Task failed' ELSE p END WHEN s = 'SUCCESS' AND k = 0 THEN 'm' END AS message, CASE WHEN s = 'SUCCESS' AND k = 1 THEN p END AS result
+ FROM (SELECT event_id, event_id % 3 AS k, CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'click' THEN 'STARTED' WHEN 'view' THEN 'PENDING' WHEN 'signup' THEN 'RETRY' WHEN 'purchase' THEN 'SUCCESS' END AS s,
+ CASE event_id % 3 WHEN 0 THEN '{"status": "error", "error_code": "E' || event_id || '", "message": "m"}' WHEN 1 THEN '{"status": "success", "n": ' || event_id || '}' ELSE '' END AS p FROM events)""",
         "stream_job_states": f"SELECT event_id, {states} AS state FROM events",
         **services.oracle_sql(),
     }
