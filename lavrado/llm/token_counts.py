@@ -2,8 +2,8 @@
 
 Plan: (1) each task sums its pre-tokens, one shuffle by pre-token gives the corpus vocabulary;
 (2) the library counts the pieces of every distinct pre-token once, the table is written;
-(3) a document's frequent pre-tokens (at most `hot` of them, so the map that is sent out has a fixed
-bound) are summed where the document is, all others become (row, pre-token, frequency) rows that are
+(3) a document's frequent pre-tokens (at most `hot` of them, by a histogram of frequencies, so the map that is sent
+out has a fixed bound) are summed where the document is, all others become (row, pre-token, frequency) rows that are
 joined to the table by pre-token and summed by row.  Ids are never kept.
 """
 
@@ -98,6 +98,19 @@ def pretoken_table(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     return staged(seen.mapInArrow(_pieces(path), "pretoken binary, n long, pieces long"), "pretokens")
 
 
+def frequent(pieces: DataFrame, most: int) -> int:
+    """A frequency that at most `most` pre-tokens have, and almost as many: from a histogram by sixteenths of a power of
+    two, so that no task sorts the vocabulary."""
+    bucket = F.floor(F.log2("n") * 16)
+    rows = pieces.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("top")).collect()  # 1024 at most
+    held, least = 0, None
+    for r in sorted(rows, reverse=True):
+        if held + r["size"] > most:
+            return r["top"] + 1
+        held, least = held + r["size"], r["least"]
+    return least or 1
+
+
 def token_counts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048, hot: int = 200_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of df.
 
@@ -108,7 +121,7 @@ def token_counts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     spark = df.sparkSession
     modelled(path)
     pieces = pretoken_table(df, path, text)
-    top = pieces.orderBy(F.desc("n"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow()
+    top = pieces.where(F.col("n") >= frequent(pieces, hot)).select("pretoken", "pieces").toArrow()  # at most `hot` rows
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_frequencies("doc_id", "text", known), "row long, doc_id long, n_bytes long, pretoken binary, times long")
     # One plan reads the texts once: the rows with a document's own sum find no partner in the join.

@@ -165,6 +165,15 @@ def test_media_files_are_tar_files_of_png(spark, tmp_path, bits):
     assert seen == len(index)
 
 
+def test_frequent_pretokens_are_bounded(spark):
+    df = spark.range(1, 2001).selectExpr("concat('t', id) pretoken", "cast(2000 / id as bigint) n", "1L pieces")
+    counts = [2000 // k for k in range(1, 2001)]
+    for most in (0, 1, 10, 300, 1999, 2000, 5000):
+        least = token_counts.frequent(df, most)
+        assert sum(n >= least for n in counts) <= most and (most < 2000 or least == 1)
+    assert token_counts.frequent(df.limit(0), 5) == 1
+
+
 def test_other_tokenizers_are_refused(spark, tmp_path):
     with open(WORDS, encoding="utf-8") as f:
         told = json.load(f)
