@@ -65,12 +65,14 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> bytes:
+    """The low 16 bits of each function's minimum: two sets with the same minimum agree in them, others by chance once in
+    65,536 times, so a pair may look a little more alike than it is, never less."""
     a, b = _functions_once()
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(low), 512):  # blocks that stay in the cache
         np.minimum(out, (a[:, None] * low[None, i : i + 512] + b[:, None]).min(axis=1), out=out)
-    return out.astype("<u4").tobytes()
+    return out.astype("<u2").tobytes()
 
 
 _functions_once = lru_cache(maxsize=1)(_functions)
@@ -103,7 +105,7 @@ def _banded(batches: Iterator) -> Iterator:
         raw = batch.column("signature").to_pylist()
         if not raw:
             continue
-        sig = np.frombuffer(b"".join(raw), dtype="<u4").reshape(len(raw), BANDS, ROWS).astype(np.uint64)
+        sig = np.frombuffer(b"".join(raw), dtype="<u2").reshape(len(raw), BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
         for r in range(ROWS):
             key = hashing.mixed(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r])
@@ -150,7 +152,7 @@ def _plausible(steps: list[tuple[int, int]]) -> Callable:
         import pyarrow as pa
 
         for batch in batches:
-            x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, HASHES) for c in ("sa", "sb")]
+            x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, HASHES) for c in ("sa", "sb")]
             left, seen, at = np.arange(len(x[0])), np.zeros(len(x[0]), dtype=np.int64), 0
             for n, least in steps:
                 seen[left] += (x[0][left, at:n] == x[1][left, at:n]).sum(axis=1)
