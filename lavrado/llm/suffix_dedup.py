@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing
-from .shared import documents, partitions, small_batches, staged, utf8
+from .shared import documents, dropped, partitions, small_batches, staged, utf8
 
 ANCHOR = 32
 #: Contexts of one anchor in one shard, and bytes of contexts that are sorted at once.
@@ -106,17 +106,29 @@ def _anchored(length: int, k: int) -> Callable:
 
 
 def _contexts(batches: Iterator) -> Iterator:
+    """Texts with their anchors to (digest, anchor, context_id, before, start, size) of each anchor's context."""
     import pyarrow as pa
 
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
         for digest, x, found in zip(batch.column("digest").to_pylist(), utf8(batch.column("text")), batch.column("found").to_pylist()):
             for f in found:
-                context = x[f["start"] : f["start"] + f["size"]]
-                for col, v in zip(out, (digest, f["anchor"], hashlib.md5(b"%d " % f["before"] + context).digest(), context, f["before"], f["start"])):
+                start, size, before = f["start"], f["size"], f["before"]
+                for col, v in zip(out, (digest, f["anchor"], hashlib.md5(b"%d " % before + x[start : start + size]).digest(), before, start, size)):
                     col.append(v)
-        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["digest", "anchor", "context_id", "context", "before", "start"])
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["digest", "anchor", "context_id", "before", "start", "size"])
+
+
+def _bytes_of(batches: Iterator) -> Iterator:
+    """Texts with the contexts that are wanted of them to rows of these, with their bytes."""
+    import pyarrow as pa
+
+    names = ["anchor", "salt", "shards", "context_id", "before", "n"]
+    for batch in batches:
+        rows = [(w, x[w["start"] : w["start"] + w["size"]]) for x, some in zip(utf8(batch.column("text")), batch.column("wanted").to_pylist()) for w in some]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*[pa.array([w[c] for w, _ in rows], t) for c, t in zip(names, kinds)], pa.array([x for _, x in rows], pa.binary())], [*names, "context"])
 
 
 def suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -390,8 +402,9 @@ def _cut(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) for x, _ in left], pa.int64()), pa.array([n for _, n in left], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in left])], ["digest", "left", "runs", "left_sha256"])
 
 
-def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, k: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is repeated in df's texts, as (rows, texts, spans).
+def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, k: int = ANCHOR, keep: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """What is repeated in df's texts, as (rows, texts, spans); texts only if they are to be kept.  Each step's table
+    is deleted when its last reader has finished.
 
     rows: doc_id, digest, sha256, n_bytes and copies of each row; texts: digest and text of those that have
     an anchor that recurs; spans: digest and array of start and end places, by turns, to be cut.  Texts with
@@ -401,37 +414,48 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     small_batches(spark)
     # A null doc_id is one of its own, and equal to itself in joins.
     base = df.select(F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = staged(base.mapInArrow(_anchored(length, k), "doc_id struct<none:boolean,id:bigint>, digest binary, sha256 string, n_bytes long, anchor array<bigint>, start array<bigint>, before array<int>, size array<int>"), "anchors")
+    found_in = staged(base.mapInArrow(_anchored(length, k), "doc_id struct<none:boolean,id:bigint>, digest binary, sha256 string, n_bytes long, anchor array<bigint>, start array<bigint>, before array<int>, size array<int>"), "anchors")
+    rows = staged(found_in.select("doc_id", "digest", "sha256", "n_bytes"), "rows")
     copies = staged(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "copies")
     # One row for each distinct text (identical rows stay together; they are copies anyway).
-    source = rows.where(F.size("anchor") > 0).select("digest", "doc_id", "anchor", "start", "before", "size").join(copies, ["digest", "doc_id"], "left_semi")
+    source = found_in.where(F.size("anchor") > 0).select("digest", "doc_id", "anchor", "start", "before", "size").join(copies, ["digest", "doc_id"], "left_semi")
     # Written, so that the join below has shuffles of its own, of which Spark can split a large key's.
     recurring = staged(source.select(F.explode("anchor").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
     each = source.select("digest", "doc_id", F.inline(F.arrays_zip("anchor", "start", "before", "size")))
     found = each.join(recurring, "anchor").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("anchor", "start", "before", "size")).alias("found"))
     keyed = base.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = staged(keyed.join(found, ["digest", "doc_id"]), "texts")
-    cut_out = texts.select("digest", "text", "found").mapInArrow(_contexts, "digest binary, anchor long, context_id binary, context binary, before int, start long")
-    contexts = staged(cut_out, "contexts")
-    met_by = contexts.groupBy("anchor", "context_id").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context"), F.min("before").alias("before"))
+    dropped(found_in)
+    dropped(recurring)
+    # Only the contexts' digests are written and counted; the bytes of those that have to be sorted are cut out later.
+    contexts = staged(texts.select("digest", "text", "found").mapInArrow(_contexts, "digest binary, anchor long, context_id binary, before int, start long, size int"), "contexts")
+    met_by = contexts.groupBy("anchor", "context_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "start")).alias("one"), F.min("before").alias("before"), F.min("size").alias("size"))
     distinct = staged(met_by, "distinct")
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most"))
     # An anchor's only context, met several times, is repeated as a whole; the others are sorted.
-    alone = distinct.select("anchor", "context_id", F.length("context").cast("long").alias("size")).join(sizes.where("m = 1 and most > 1").select("anchor"), "anchor").select("anchor", "context_id", F.array(F.lit(0).cast("long"), "size").alias("spans"))
+    single = sizes.where("m = 1 and most > 1").select("anchor")
+    alone = staged(distinct.select("anchor", "context_id", F.col("size").cast("long").alias("size")).join(single, "anchor").select("anchor", "context_id", F.array(F.lit(0).cast("long"), "size").alias("spans")), "alone")
     several = sizes.where("m > 1").select("anchor", F.ceil(F.col("m") / SHARD).cast("int").alias("shards"))
     salted = distinct.join(several, "anchor").withColumn("salt", F.pmod(F.xxhash64("context_id"), F.col("shards")).cast("int"))
-    spread = salted.repartition(partitions(spark), "anchor", "salt").sortWithinPartitions("anchor", "salt", "context_id")
+    wanted = salted.groupBy(F.col("one.digest").alias("digest")).agg(F.collect_list(F.struct("anchor", "salt", "shards", "context_id", "before", "n", F.col("one.start").alias("start"), "size")).alias("wanted"))
+    cut_out = texts.select("digest", "text").join(wanted, "digest").mapInArrow(_bytes_of, "anchor long, salt int, shards int, context_id binary, before int, n long, context binary")
+    spread = cut_out.repartition(partitions(spark), "anchor", "salt").sortWithinPartitions("anchor", "salt", "context_id")
     shape = "anchor long, context_id binary, spans array<bigint>, range int, shard int, keys binary, contexts binary, starts binary"
     sorted_ = staged(spread.select("anchor", "salt", "shards", "context_id", "context", "before", "n").mapInArrow(_sharded(length), shape), "sorted")
+    dropped(distinct)
+    if not keep:
+        dropped(texts)
     runs = sorted_.where("keys is not null").select("anchor", "range", "shard", "keys", "contexts", "starts")
     dealt = runs.repartition(partitions(spark), "anchor", "range").sortWithinPartitions("anchor", "range", "shard")
     late = staged(dealt.mapInArrow(_met(length), "anchor long, context_id binary, spans array<bigint>"), "late")
     marked = sorted_.where("spans is not null").select("anchor", "context_id", "spans").unionByName(late).unionByName(alone)
     # One row a context: the join makes a row for each occurrence of a context, whatever was found in it.
     marked = staged(marked.groupBy("anchor", "context_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "marked")
+    for done in (sorted_, late, alone):
+        dropped(done)
     placed = contexts.select("digest", "anchor", "context_id", "start").join(marked, ["anchor", "context_id"])
     spans = placed.groupBy("digest").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans"))
-    return rows.join(copies.select("digest", "copies"), "digest").withColumn("doc_id", F.when(~F.col("doc_id.none"), F.col("doc_id.id"))), texts.select("digest", "text"), spans
+    return rows.join(copies.select("digest", "copies"), "digest").withColumn("doc_id", F.when(~F.col("doc_id.none"), F.col("doc_id.id"))), texts.select("digest", "text") if keep else None, spans
 
 
 def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -456,7 +480,7 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """df with the repeated bytes cut from its texts (broken characters at a cut go too); all rows and columns stay."""
-    rows, _, spans = repeats(df, doc_id, text, length)
+    rows, _, spans = repeats(df, doc_id, text, length, keep=False)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
