@@ -33,6 +33,8 @@ HASHES = BANDS * ROWS
 BATCH = 36
 #: Nodes of open buckets that have a shingle, above which it is common.
 COMMON = 64
+#: Sides of joins that grow with the input are shuffled at every size, so that a small table has the plan of a large one.
+MERGE = "shuffle_merge"
 
 
 def word_shingles(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
@@ -197,14 +199,14 @@ def _shared(open_: DataFrame, base: DataFrame, k: int, percent: int, close: Call
     rows = staged(texts.mapInArrow(_shingled(k), "node long, component long, piece long, n long, shingles array<bigint>"), "shingles", "lz4")
     each = rows.select("node", "component", "piece", "n", F.explode("shingles").alias("shingle"))
     known = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle", "df"), "known")
-    marked = staged(each.join(known, "shingle"), "marked", "lz4")
+    marked = staged(each.join(known.hint(MERGE), "shingle"), "marked", "lz4")
     common = F.col("df") > COMMON
     counts = marked.groupBy("node", "piece", "n").agg(F.sum(common.cast("long")).alias("common"), F.sum((~common).cast("long")).alias("rare"))
     alive = staged(counts.where(100 * (F.col("common") + F.col("rare")) >= percent * F.col("n")), "alive")
     # A pair shares `percent` % of the larger set at least, and of that no more common shingles than either has.
     least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common"))
     place = F.row_number().over(Window.partitionBy("node", "piece").orderBy("df", "shingle"))
-    prefix = marked.where(~common).join(alive, ["node", "piece", "n"]).withColumn("place", place).where(F.col("place") <= F.col("rare") - least + 1)
+    prefix = marked.where(~common).join(alive.hint(MERGE), ["node", "piece", "n"]).withColumn("place", place).where(F.col("place") <= F.col("rare") - least + 1)
     index = staged(prefix.select("shingle", "node", "component", "n", "common", "rare"), "index")
     l, r = index.alias("l"), index.alias("r")  # noqa: E741
     enough = (100 + percent) * (F.least(F.col("l.common"), F.col("r.common")) + F.least(F.col("l.rare"), F.col("r.rare"))) >= percent * (F.col("l.n") + F.col("r.n"))
@@ -243,12 +245,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     steps = least_matches(percent / 100, miss)
 
     def links(pairs: DataFrame) -> DataFrame:
-        sig = nodes.select("node", "signature")
+        sig = nodes.select("node", "signature").hint(MERGE)
         with_sig = pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
         likely = staged(with_sig.select("a", "b", "sa", "sb").mapInArrow(_plausible(steps), "a long, b long").distinct(), "likely")
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
         texts = staged(base.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-        with_text = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        own = texts.hint(MERGE)
+        with_text = likely.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         found = staged(with_text.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, percent), "a long, b long").distinct(), "links")
         dropped(texts)
         dropped(likely)
