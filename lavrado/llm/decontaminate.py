@@ -4,7 +4,7 @@ Plan: equal item texts are put together and their sizes summed first; the benchm
 as keep each within MOST_BYTES of text.  For each block one row-local pass over the texts adds the hits to the
 row, so no text is shuffled whatever the sizes are; with several blocks the rows are written between passes,
 so that a task holds one block's table.  A table is a few flat arrays (window hashes in order, the word each
-window starts at, the items' text and words), about six bytes for each byte of text: in a pass, the windows of
+window starts at, the items' text and words), four to eight bytes for each byte of text: in a pass, the windows of
 a batch of texts are hashed and searched in it, and what is found is verified word by word.
 """
 
