@@ -18,6 +18,7 @@ MODULES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_toxicity": "toxicity",
     "op10_media": "media",
+    "op11_conversation_repair": "conversation_repair",
 }
 
 
@@ -32,6 +33,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .licences import sql
+    from . import conversation_repair, licences
 
-    return {"op1_licence_scan": sql()}
+    return {"op1_licence_scan": licences.sql(), "op11_conversation_repair": conversation_repair.sql()}

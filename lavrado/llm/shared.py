@@ -13,8 +13,9 @@ from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python; texts can be long, so batches stay small.
+#: Rows in an Arrow batch handed to Python, and bytes after which a batch ends sooner: texts can be long.
 BATCH_ROWS = 256
+BATCH_BYTES = 1 << 22
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +77,17 @@ def deleted(spark: SparkSession, at: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, unless the session bounds them lower.
+    """Bound the rows and the bytes of an Arrow batch, unless the session bounds them lower.
 
-    Spark reads this setting when a plan runs, after an operator has returned, so it stays in the session.
+    Spark reads these settings when a plan runs, after an operator has returned, so they stay in the session.  A text
+    longer than BATCH_BYTES is a batch of its own.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def utf8(column) -> list[bytes | None]:
