@@ -19,6 +19,7 @@ MODULES = {
     "op9_toxicity": "toxicity",
     "op10_media": "media",
     "op11_conversation_repair": "conversation_repair",
+    "op12_conversation_trie": "conversation_trie",
 }
 
 
@@ -33,6 +34,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import conversation_repair, licences
+    from . import conversation_repair, conversation_trie, licences
 
-    return {"op1_licence_scan": licences.sql(), "op11_conversation_repair": conversation_repair.sql()}
+    return {"op1_licence_scan": licences.sql(), "op11_conversation_repair": conversation_repair.sql(), "op12_conversation_trie": conversation_trie.sql()}

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lavrado.llm import conversation_repair
+from lavrado.llm import conversation_repair, conversation_trie
 from lavrado.llm.queries import oracle_sql, queries
 
 from . import cases
@@ -31,7 +31,7 @@ def odd_rows() -> list[tuple]:
             rows.append(rows[-1])
     rows += [(500, k, "user" if k % 2 == 0 else "assistant", "x " * 200_000 + f"{k}.", None, None, None) for k in range(4)]
     rows += [(501, k, ("user", "assistant")[k % 2], f"turn {k}.", None, None, None) for k in range(700)]
-    return rows + [(k, 0, "user", "Alone.", None, None, None) for k in range(600, 660)]  # some lose their only turn
+    return rows + [(k, 0, "user", "Alone.", None, None, None) for k in range(600, 800)]  # some lose their only turn
 
 
 def frame(spark, rows=None):
@@ -96,7 +96,7 @@ def brute(turns: list[tuple]) -> tuple:
     return gaps, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_repair"])
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_conversation_trie"])
 def test_against_sql(spark, sf_dir, name):
     got, con = queries()[name](spark, sf_dir), duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
@@ -147,3 +147,85 @@ def test_every_short_conversation_is_repaired_at_least_cost():
             audit += "I" * len(repairs.end(q))
             assert (cost, audit) == brute(turns)[5:7]
     assert len(repairs.vectors) < 64
+
+
+def strings(rows: list[tuple], rebuilt: bool) -> dict[int, list[tuple[str, str]]]:
+    """conv_id: [(role, text)] in order, nulls empty, equal turn numbers by digest."""
+    found: dict = {}
+    for conv, turn, role, text in (r[:4] for r in rows):
+        if conv is not None:
+            role, text = role or "", text or ""
+            found.setdefault(conv, []).append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest(), role, text))
+    own = {k: [x[3:] for x in sorted(v)] for k, v in found.items()}
+    if not rebuilt:
+        return own
+    first = lambda c: c - (abs(c) % 5) * (1 if c >= 0 else -1)
+    n = {c: zlib.crc32(str(c).encode()) % 9 for c in own}
+    return {c: own.get(first(c), [])[: n[c]] + own[c][n[c] :] for c in own}
+
+
+def nodes(whole: dict[int, list]) -> list[tuple]:
+    """All nodes by their prefixes, children and subtrees by comparing prefixes."""
+    members: dict = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    below: dict = {}
+    for p in members:
+        for d in range(len(p) + 1):
+            below.setdefault(p[:d], []).append(p)
+    inner = {p[:-1] for p in members if p}
+    children: dict = {}
+    for p in members:
+        if p:
+            children[p[:-1]] = children.get(p[:-1], 0) + 1
+    out = []
+    for p, cs in members.items():
+        ends = sorted(c for c in cs if len(whole[c]) == len(p))
+        saved = sum((len(members[x]) - 1) * len(x[-1][1].encode()) for x in below[p] if x)
+        out.append((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), children.get(p, 0), sum(x not in inner for x in below[p]), saved, hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def crowd() -> list[tuple]:
+    """Hundreds of copies of a conversation, of its start and of its continuation, and some without turns in common."""
+    rows = [(k, t, ("user", "assistant")[t % 2], f"common {t}", None, None, None) for k in range(1000, 1400) for t in range(3 + k % 3)]
+    return rows + [(k, t, "user", f"own {k} {t}", None, None, None) for k in range(2000, 2050) for t in range(1 + k % 2)] + [(3000 + k, t, "user", f"long {t}", None, None, None) for k in range(2) for t in range(400 + k)]
+
+
+@pytest.mark.parametrize("rebuilt", [False, True])
+@pytest.mark.parametrize("size", [conversation_trie.RANGE_BYTES, 2000])
+def test_trie_of_odd_rows(spark, rebuilt, size):
+    """With strings dealt out over few and over many ranges, so that copies and paths cross them."""
+    rows = odd_rows() + crowd()
+    df = frame(spark, rows)
+    by = {"family": F.col("conv_id") - F.col("conv_id") % 5, "head": conversation_trie.rebuilt_head} if rebuilt else {}
+    got = conversation_trie.trie(conversation_trie.strings(df, **by), range_bytes=size)
+    assert cases.table(got) == nodes(strings(rows, rebuilt))
+
+
+def test_trie_of_no_rows_and_of_empty_conversations(spark):
+    assert conversation_trie.conversation_trie(frame(spark, [])).count() == 0
+    rows = spark.createDataFrame([(5, b""), (3, b"")], "conv_id long, turns binary")
+    assert [tuple(r) for r in conversation_trie.trie(rows).collect()] == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,5").hexdigest())]
+
+
+def test_node_turns(spark):
+    df = frame(spark)
+    whole = strings(odd_rows(), False)
+    for r in conversation_trie.node_turns(conversation_trie.conversation_trie(df), df).collect():
+        assert (r.role, r.text) == (whole[r.conv_id][r.depth - 1] if r.depth else (None, None))
+
+
+def test_loser_tree_merges_and_tells_shared_turns():
+    draw = random.Random(1)
+    for n in range(40):
+        rows = [(b"".join(draw.choice((b"a", b"b")) * conversation_trie.TURN for _ in range(draw.randrange(7))), k) for k in range(draw.randrange(60))]
+        cut = draw.randrange(1, 12)
+        runs = [conversation_trie.Run(rows[k::cut]) for k in range(cut)]
+        got = list(conversation_trie.merged(runs))
+        assert [r[:2] for r in got] == sorted(rows)
+        before = b""
+        for turns, _, lcp in got:
+            assert lcp == conversation_trie.shared_turns(before, turns)
+            before = turns
