@@ -20,6 +20,7 @@ MODULES = {
     "op10_media": "media",
     "op11_conversation_repair": "conversation_repair",
     "op12_conversation_trie": "conversation_trie",
+    "op13_packing": "packing",
 }
 
 

@@ -110,6 +110,9 @@ def chunks(text: bytes) -> list[bytes]:
     return text.split()
 
 
+#: Bytes of a text that are cut into chunks at a time, and what chunks end at.
+LONG = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\r\f\v]")
 _LETTERS = "a-z" + "".join(filter(str.isalpha, map(chr, range(0x80, 0x250))))
 #: A letter, digit or ASCII sign other than an apostrophe, over and over; and its pieces.
 _PLAIN = re.compile(f"[{_LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
@@ -186,7 +189,16 @@ class WordBpe(dict):
         return found
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        """A text's ids, a megabyte or so of its chunks at a time."""
+        if len(text) <= LONG:
+            return b"".join(map(self.__getitem__, text.split()))
+        out, at = [], 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + LONG)
+            end = cut.start() if cut else len(text)
+            out.append(b"".join(map(self.__getitem__, text[at:end].split())))
+            at = end
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
