@@ -53,13 +53,20 @@ def largest(c: Column) -> Column:
     return F.array_max(F.filter(literals(c), lambda x: x.isNotNull()))
 
 
+def _variant_sql() -> str:
+    plain = "CASE WHEN contains(s, ',') AND contains(s, '.') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '.') END"
+    text = f"transform(transform(array(regexp_replace(try_variant_get(x, '$', 'string'), '[^0-9,.-]', '')), s -> {plain}), p -> CASE WHEN p RLIKE '{_NUMBER}' THEN cast(bround(try_cast(p AS decimal(30, 8)) * 100, 0) AS bigint) END)[0]"
+    real = "k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT')"
+    value = f"CASE WHEN k IN ('BIGINT', 'BOOLEAN') THEN try_variant_get(x, '$', 'bigint') WHEN {real} THEN cast(rint(try_variant_get(x, '$', 'double') * 100) AS bigint) WHEN k = 'STRING' THEN {text} END"
+    return f"x -> transform(array(schema_of_variant(x)), k -> {value})[0]"
+
+
+def cents_variant_sql(x: str) -> str:
+    """SQL of cents_variant, of SQL of a VARIANT."""
+    return f"transform(array({x}), {_variant_sql()})[0]"
+
+
 def cents_variant(v: Column) -> Column:
     """From a value of a JSON payload: whole numbers (and booleans) are cents already, other numbers are reais,
     strings are read as cents_payload reads them; anything else is null."""
-
-    def of(x: Column) -> Column:
-        number = F.rint(F.try_variant_get(x, "$", "double") * 100).cast("long")
-        kinds = lambda k: F.when(k.isin("BIGINT", "BOOLEAN"), F.try_variant_get(x, "$", "bigint")).when(k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT"), number).when(k == "STRING", cents_payload(F.try_variant_get(x, "$", "string")))
-        return F.transform(F.array(F.schema_of_variant(x)), kinds)[0]
-
-    return F.transform(F.array(v), of)[0]
+    return F.call_function("transform", F.array(v), F.expr(_variant_sql()))[0]

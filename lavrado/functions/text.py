@@ -25,26 +25,32 @@ def squeezed(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> str:
-    """What every character that decomposes to ASCII becomes, as a JSON object; of all of Unicode."""
+def _folding() -> tuple[str, str, str]:
+    """Every character of Unicode that decomposes to ASCII: those that become one character and what they become, and the others as a JSON object."""
     plain = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)])}
-    return json.dumps({c: x for c, x in plain.items() if x})
+    single = {c: x for c, x in plain.items() if len(x) == 1}
+    return "".join(single), "".join(single.values()), json.dumps({c: x for c, x in plain.items() if len(x) > 1}, ensure_ascii=False)
 
 
 def folded(c: Column) -> Column:
     """Compatibility decomposition, what isn't ASCII dropped, upper case.
 
-    Each character other than ASCII is looked up once a text and then replaced all over it.
+    Characters that become one other are translated in one pass.  Only a text with others left (ligatures, fractions,
+    Roman numerals) looks those up, each once a text, and replaces them all over it.
     """
+    other = "[^\\x00-\\x7F]"
 
-    def plain(text: Column) -> Column:
-        known = F.from_json(F.lit(_folding()), "map<string,string>")  # one literal, once the plan is optimised
-        rare = F.array_distinct(F.regexp_extract_all(text, F.lit("([^\\x00-\\x7F])"), F.lit(1)))
+    def rest(text: Column) -> Column:
+        known = F.from_json(F.lit(_folding()[2]), "map<string,string>")  # one literal, once the plan is optimised
+        rare = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({other})"), F.lit(1)))
         pairs = F.filter(F.transform(rare, lambda x: F.struct(x.alias("from"), known[x].alias("to"))), lambda p: p["to"].isNotNull())
-        return F.regexp_replace(F.aggregate(pairs, text, lambda t, p: F.replace(t, p["from"], p["to"])), "[^\\x00-\\x7F]+", "")
+        return F.regexp_replace(F.aggregate(pairs, text, lambda t, p: F.replace(t, p["from"], p["to"])), f"{other}+", "")
+
+    def plain(text: Column) -> Column:
+        return F.when(text.rlike(other), rest(text)).otherwise(text)
 
-    some = F.transform(F.array(c), plain)[0]
-    return F.upper(F.when(c.rlike("[^\\x00-\\x7F]"), some).otherwise(c))
+    some = F.transform(F.array(F.translate(c, *_folding()[:2])), plain)[0]
+    return F.upper(F.when(c.rlike(other), some).otherwise(c))
 
 
 def digits(c: Column) -> Column:

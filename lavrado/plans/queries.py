@@ -12,7 +12,7 @@ from ..functions import dates, ids, money, text
 from ..operators import cache, classify, quality, xml_fiscal
 from ..sources import files
 from ..streaming import ingest
-from . import services
+from . import records, services
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,7 +204,7 @@ def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_available(spark, source, _jobs, f"{at}/out", f"{at}/state")
 
 
-QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, job_responses, *services.QUERIES]
+QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, job_responses, *services.QUERIES, *records.QUERIES]
 
 
 def queries() -> dict:
@@ -261,4 +261,5 @@ def oracle_sql() -> dict[str, str]:
  CASE event_id % 3 WHEN 0 THEN '{"status": "error", "error_code": "E' || event_id || '", "message": "m"}' WHEN 1 THEN '{"status": "success", "n": ' || event_id || '}' ELSE '' END AS p FROM events)""",
         "stream_job_states": f"SELECT event_id, {states} AS state FROM events",
         **services.oracle_sql(),
+        **records.oracle_sql(),
     }
