@@ -19,8 +19,9 @@ from .shared import documents, small_batches
 #: Characters after which a long text is cut at the next safe boundary.
 PART = 1 << 16
 _SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-#: So long a run of white space is cut before its last character: the pattern would have to step back over all of it.
-_BLANK = re.compile(r"\s{5000,}(?=\S)")
+#: So long a run of white space is cut before its last character, if something follows it: the pattern would have to
+#: step back over all of it.  Runs are looked for from their starts only, so the search is linear.
+_BLANK = re.compile(r"(?<!\s)\s{5000,}")
 
 
 def encoding(path: str, pattern: str):
@@ -37,7 +38,7 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
     if len(text) <= size:
         yield text
         return
-    cuts = [m.end() - 1 for m in _BLANK.finditer(text)]
+    cuts = [m.end() - 1 for m in _BLANK.finditer(text) if m.end() < len(text)]
     at = 0
     while (m := _SAFE.search(text, at + size)) is not None:
         cuts.append(at := m.start())

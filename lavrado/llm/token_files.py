@@ -72,7 +72,19 @@ class Coder:
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
     def encode(self, blocks: list) -> list[tuple[bytes, bytes, bytes]]:
-        """For each array of ids its words, states and offsets."""
+        """For each array of ids its words, states and offsets.  Blocks of like lengths go side by side: they are filled up
+        to the longest one's length, which is at most half as much again as the shortest one's."""
+        out: list = [None] * len(blocks)
+        order, k = sorted(range(len(blocks)), key=lambda i: len(blocks[i])), 0
+        while k < len(order):
+            least = len(blocks[order[k]])
+            some = [i for i in order[k:] if 2 * len(blocks[i]) <= 3 * least] or [order[k]]
+            for i, coded in zip(some, self._encoded([blocks[i] for i in some])):
+                out[i] = coded
+            k += len(some)
+        return out
+
+    def _encoded(self, blocks: list) -> list[tuple[bytes, bytes, bytes]]:
         import numpy as np
 
         n = len(blocks)
@@ -193,7 +205,7 @@ def _blocks(freq, size: int, together: int) -> Callable:
         part, coder, block, start = TaskContext.get().partitionId(), Coder(freq.value), 0, 0
         ready: list = []
         docs: list = []
-        held = 0
+        held = waiting = 0
 
         def rows():
             nonlocal ready, block, start
@@ -213,9 +225,11 @@ def _blocks(freq, size: int, together: int) -> Callable:
                 held += len(docs[-1][1])
                 if held >= size:
                     ready.append(docs)
+                    waiting += held
                     docs, held = [], 0
-                    if len(ready) >= together:
+                    if waiting >= together * size:
                         yield rows()
+                        waiting = 0
         if docs:
             ready.append(docs)
         if ready:

@@ -42,6 +42,7 @@ TARGET = frozenset("you your he she they him her them this these are du dich dir
 NEGATION = frozenset("not never no nor neither nicht nie niemals kein keine keiner weder pas jamais aucun aucune nunca ni ningún ninguna jamás".split())
 SAYING = frozenset("said says say quoted quotes wrote writes claimed claims called calls sagte sagt sagten schrieb schreibt behauptet behauptete dit disait écrit affirme prétend dijo dice decía escribió afirma afirmó".split())
 _MARKS = {**dict.fromkeys(".!?;", "e"), ",": "c", ":": "k", **dict.fromkeys('"“”„«»', "q")}
+_MASK, _HALF = (1 << 64) - 1, 1 << 63
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r'[^\W\d_]+|[.!?;,:"“”„«»]')
 _QUOTE, _END = re.compile('["“”„«»]'), re.compile("[.!?;]+")
@@ -57,9 +58,10 @@ def stem_keys(word: str) -> list[int]:
     """A 64-bit key of each of stems(word), in one pass over the letters: a long word's stems aren't spelled out."""
     h, out = 0, []
     for c in word:
-        h = hash((h, ord(c)))
-        out.append(h)
-    return [hash((out[-1], -7)), *out[SHORT - 1 : -1]]
+        h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK
+        h ^= h >> 29
+        out.append(h - _HALF)
+    return [((h * 0xBF58476D1CE4E5B9 + 7) & _MASK) - _HALF, *out[SHORT - 1 : -1]]
 
 
 def heads(lexicon: dict[str, float]) -> tuple[frozenset[str], int]:
