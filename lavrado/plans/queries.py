@@ -154,7 +154,7 @@ def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
-    t = F.when(F.col("o_orderkey") % 9 == 0, F.lit("Emissao 31/02/2024 10:00")).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Data "), day, F.lit(" 17:42:47 fim"))).otherwise(F.concat(F.lit("Data "), day))
+    t = F.when(F.col("o_orderkey") % 9 == 0, F.lit("Emissao 31/02/2024 10:00")).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Data "), day, F.lit(" 09:31:05 fim"))).otherwise(F.concat(F.lit("Data "), day))
     o = _table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t"))
     return o.select("o_orderkey", F.date_format(dates.moment(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("issued_at"), dates.competence(F.col("t")).cast("string").alias("competence_at"))
 
@@ -246,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "quality_rollup": f"SELECT segment, status, count(*) AS n, CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM ({judged}) GROUP BY ROLLUP (segment, status)",
         "dedupe_sha256": "SELECT doc_id, k AS cache_key, n AS place, CASE WHEN n > 1 THEN 'cache' ELSE 'computed' END AS extraction_method FROM (SELECT doc_id, sha256(text) AS k, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents)",
         "cache_probe": "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)) THEN 'success' ELSE 'computed' END AS status FROM documents",
-        "issue_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 17:42:47' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS issued_at, CASE WHEN o_orderkey % 9 = 0 THEN '2024-02-01' ELSE strftime(o_orderdate, '%Y-%m') || '-01' END AS competence_at FROM orders",
+        "issue_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 09:31:05' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS issued_at, CASE WHEN o_orderkey % 9 = 0 THEN '2024-02-01' ELSE strftime(o_orderdate, '%Y-%m') || '-01' END AS competence_at FROM orders",
         "fold_upper": f"SELECT doc_id, md5(f) AS folded_md5, right(f, 36) AS tail FROM (SELECT doc_id, regexp_replace(upper(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g') || '{_PLAIN}' AS f FROM documents)",
         "nfe_parties": """SELECT o_orderkey, 'issuer' AS role, 'cnpj' AS document_type, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS root, 'Fornecedor ' || o_custkey AS name, 'F' AS fancy_name, '123' AS ie FROM orders WHERE o_orderkey % 11 <> 0
  UNION ALL SELECT o_orderkey, 'recipient', 'cpf', '52998224', 'Cliente', NULL, NULL FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0""",

@@ -76,15 +76,17 @@ class JobTable:
 
     def _newest(self, rows: DataFrame) -> DataFrame:
         """Of each key the row of the latest order; ties by the whole row, so that a batch that runs again gives the same."""
-        columns = [F.col(f"`{c}`") for c in rows.columns]
-        best = F.max(F.struct(F.col(f"`{self.order}`").alias("_o"), F.struct(*columns).alias("_r")))
-        return rows.groupBy(F.col(f"`{self.key}`").alias("_k")).agg(best.alias("_b")).select("_b._r.*")
+        whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+        place = F.struct(F.col(f"`{self.order}`"), F.sha2(F.to_json(whole), 256))
+        return rows.groupBy(F.col(f"`{self.key}`").alias("_k")).agg(F.max_by(whole, place).alias("_r")).select("_r.*")
+
+    def has(self, batch: int) -> bool:
+        return self._done(f"batch-{batch:012d}")
 
     def write(self, rows: DataFrame, batch: int) -> None:
         """For foreachBatch: commit a batch, once."""
-        name = f"batch-{batch:012d}"
-        if not self._done(name):
-            self._newest(rows).write.mode("overwrite").parquet(f"{self.at}/{name}")
+        if not self.has(batch):
+            self._newest(rows).write.mode("overwrite").parquet(f"{self.at}/batch-{batch:012d}")
 
     def _names(self) -> list[str]:
         path, fs = self._path("")
