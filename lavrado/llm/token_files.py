@@ -238,7 +238,9 @@ def _blocks(freq, size: int, together: int) -> Callable:
     return run
 
 
-def _read(freq) -> Callable:
+def _read(freq, digests: bool) -> Callable:
+    """Documents' ids, or in their place the crc32, so that ids that nobody asks for don't leave the task."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -258,21 +260,16 @@ def _read(freq) -> Callable:
                     raise ValueError("a block's ids don't have their checksum")
                 at = 0
                 for k, n in zip(ks, ns):
-                    for col, v in zip(out, (part, k, start + at, n, raw[4 * at : 4 * (at + n)])):
+                    own = memoryview(raw)[4 * at : 4 * (at + n)]
+                    for col, v in zip(out, (part, k, start + at, n, zlib.crc32(own) if digests else own)):
                         col.append(v)
                     at += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "doc_id", "part_start", "n_tokens", "ids"])
+            last = pa.int64() if digests else pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), last))], ["part", "doc_id", "part_start", "n_tokens", "ids_crc32" if digests else "ids"])
 
     return run
 
 
-def _crc(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("part_start"), batch.column("n_tokens"), pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())], ["part", "doc_id", "part_start", "n_tokens", "ids_crc32"])
-
-
 def write_token_files(df: DataFrame, at: str, tokenizer: str, end: int | None = None, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, files: int | None = None) -> None:
     """Write `at/blocks` and `at/frequencies`: the ids of every whole text, in ascending doc_id order, each followed by `end`.
 
@@ -308,9 +305,7 @@ def read_token_files(spark, at: str, digests: bool = False) -> DataFrame:
     # One row for each partition of the writer.
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("base", F.lit(0)).alias("base"))
     shared = spark.sparkContext.broadcast(freq)
-    rows = blocks.mapInArrow(_read(shared), "part int, doc_id long, part_start long, n_tokens long, ids binary")
-    if digests:
-        rows = rows.mapInArrow(_crc, "part int, doc_id long, part_start long, n_tokens long, ids_crc32 long")
+    rows = blocks.mapInArrow(_read(shared, digests), f"part int, doc_id long, part_start long, n_tokens long, {'ids_crc32 long' if digests else 'ids binary'}")
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32" if digests else "ids")
 
 
