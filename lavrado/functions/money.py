@@ -6,14 +6,15 @@ from pyspark.sql import Column, functions as F
 
 from .text import blank
 
-_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+#: A plain decimal number.
+NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 #: A money literal in a text; no boundary on its left.
 LITERAL = "(?:R\\$\\s*)?(\\d{1,3}(?:[.,]\\d{3})*[.,]\\d{2})"
 
 
 def _cents(plain: Column) -> Column:
-    """Half-even; null unless a plain decimal number."""
-    return F.when(plain.rlike(_NUMBER), F.rint(plain.try_cast("double") * 100).cast("long"))
+    """Half-even; null unless a plain decimal number whose cents fit into 64 bits."""
+    return F.when(plain.rlike(NUMBER), F.rint(plain.try_cast("double") * 100).try_cast("long"))
 
 
 def cents_text(c: Column) -> Column:
@@ -30,13 +31,13 @@ def cents_payload(c: Column) -> Column:
     x = F.regexp_replace(c, "[^0-9,.-]", "")
     both = F.contains(x, F.lit(",")) & F.contains(x, F.lit("."))
     plain = F.when(both, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(","), F.lit(".")))
-    exact = F.when(plain.rlike(_NUMBER), F.bround(plain.try_cast("decimal(30,8)") * 100, 0).cast("long"))
+    exact = F.when(plain.rlike(NUMBER), F.bround(plain.try_cast("decimal(30,8)") * 100, 0).try_cast("long"))
     return F.when(~blank(c), exact)
 
 
 def cents_number(c: Column) -> Column:
     """From numbers of a payload, which are reais (whole numbers of a payload are cents already)."""
-    return F.rint(c.cast("double") * 100).cast("long")
+    return F.rint(c.cast("double") * 100).try_cast("long")
 
 
 def cents_xml(c: Column) -> Column:
@@ -55,9 +56,9 @@ def largest(c: Column) -> Column:
 
 def _variant_sql() -> str:
     plain = "CASE WHEN contains(s, ',') AND contains(s, '.') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '.') END"
-    text = f"transform(transform(array(regexp_replace(try_variant_get(x, '$', 'string'), '[^0-9,.-]', '')), s -> {plain}), p -> CASE WHEN p RLIKE '{_NUMBER}' THEN cast(bround(try_cast(p AS decimal(30, 8)) * 100, 0) AS bigint) END)[0]"
+    text = f"transform(transform(array(regexp_replace(try_variant_get(x, '$', 'string'), '[^0-9,.-]', '')), s -> {plain}), p -> CASE WHEN p RLIKE '{NUMBER}' THEN try_cast(bround(try_cast(p AS decimal(30, 8)) * 100, 0) AS bigint) END)[0]"
     real = "k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT')"
-    value = f"CASE WHEN k IN ('BIGINT', 'BOOLEAN') THEN try_variant_get(x, '$', 'bigint') WHEN {real} THEN cast(rint(try_variant_get(x, '$', 'double') * 100) AS bigint) WHEN k = 'STRING' THEN {text} END"
+    value = f"CASE WHEN k IN ('BIGINT', 'BOOLEAN') THEN try_variant_get(x, '$', 'bigint') WHEN {real} THEN try_cast(rint(try_variant_get(x, '$', 'double') * 100) AS bigint) WHEN k = 'STRING' THEN {text} END"
     return f"x -> transform(array(schema_of_variant(x)), k -> {value})[0]"
 
 
