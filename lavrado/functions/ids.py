@@ -20,6 +20,7 @@ ACCESS_KEY = "\\b\\d{4}(?:[\\s.]?\\d{4}){10}\\b"
 PHONE = "\\(?(\\d{2})\\)?\\s*\\d{4,5}[-\\s]?\\d{4}"
 NUMBER_SERIES = "\\b(\\d{1,9})\\s*[/\\-]\\s*([A-Z0-9]{1,3})\\b"
 CNAE = "\\b\\d{4}[-\\s]?\\d[/\\s]?\\d{2}[-\\s]?\\d{2}\\b"
+STATE = "\\b([A-Z]{2})\\b"
 SERVICE_CODE = "\\b\\d{2}[.,]\\d{2}\\b"
 # The codes of states.
 STATES = ("AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA", "PB", "PE", "PI", "PR", "RJ", "RN", "RO", "RR", "RS", "SC", "SE", "SP", "TO")
@@ -115,3 +116,28 @@ def first_document(c: Column) -> Column:
 
 def is_state(c: Column) -> Column:
     return F.coalesce(c.isin(*STATES), F.lit(False))
+
+
+def _each(c: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?Ud){pattern}"), F.lit(group))
+
+
+def access_keys(c: Column) -> Column:
+    """The digits of all access keys of a text that have the right check digit, in order."""
+    return F.filter(F.transform(_each(c, ACCESS_KEY), digits), valid_access_key)
+
+
+def phones(c: Column) -> Column:
+    """The digits of all telephone numbers with an area code, in order."""
+    return F.transform(_each(c, PHONE), digits)
+
+
+def numbers_with_series(c: Column) -> Column:
+    """All places of the form number/series, as structs<number, series>, numbers without leading zeros."""
+    pair = lambda k: _each(c, NUMBER_SERIES, k)
+    return F.zip_with(pair(1), pair(2), lambda n, s: F.struct(n.try_cast("long").alias("number"), s.alias("series")))
+
+
+def states(c: Column) -> Column:
+    """The codes of states among a text's words of two capitals, in order, each as often as it occurs."""
+    return F.filter(_each(c, STATE, 1), is_state)

@@ -25,7 +25,7 @@ def squeezed(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str, str]:
+def translations() -> tuple[str, str, str]:
     """Every character of Unicode that decomposes to ASCII: those that become one character and what they become, and the others as a JSON object."""
     plain = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)])}
     single = {c: x for c, x in plain.items() if len(x) == 1}
@@ -41,7 +41,7 @@ def folded(c: Column) -> Column:
     other = "[^\\x00-\\x7F]"
 
     def rest(text: Column) -> Column:
-        known = F.from_json(F.lit(_folding()[2]), "map<string,string>")  # one literal, once the plan is optimised
+        known = F.from_json(F.lit(translations()[2]), "map<string,string>")  # one literal, once the plan is optimised
         rare = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({other})"), F.lit(1)))
         pairs = F.filter(F.transform(rare, lambda x: F.struct(x.alias("from"), known[x].alias("to"))), lambda p: p["to"].isNotNull())
         return F.regexp_replace(F.aggregate(pairs, text, lambda t, p: F.replace(t, p["from"], p["to"])), f"{other}+", "")
@@ -49,7 +49,7 @@ def folded(c: Column) -> Column:
     def plain(text: Column) -> Column:
         return F.when(text.rlike(other), rest(text)).otherwise(text)
 
-    some = F.transform(F.array(F.translate(c, *_folding()[:2])), plain)[0]
+    some = F.transform(F.array(F.translate(c, *translations()[:2])), plain)[0]
     return F.upper(F.when(c.rlike(other), some).otherwise(c))
 
 

@@ -12,7 +12,7 @@ from ..functions import dates, ids, money, text
 from ..operators import cache, classify, quality, xml_fiscal
 from ..sources import files
 from ..streaming import ingest
-from . import records, services, streams
+from . import records, reports, services, streams
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,7 +204,7 @@ def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_available(spark, source, _jobs, f"{at}/out", f"{at}/state")
 
 
-QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, job_responses, *services.QUERIES, *records.QUERIES, *streams.QUERIES]
+QUERIES = [money_text_cents, money_payload_cents, money_literal_scan, tax_ids_valid, access_key_valid, sniff_and_gate, classify_documents, nfe_header, nfe_items, nfe_quality, quality_rollup, dedupe_sha256, cache_probe, issue_dates, fold_upper, markdown_render, section_slice, job_states, stream_job_states, nfe_parties, job_responses, *services.QUERIES, *records.QUERIES, *streams.QUERIES, *reports.QUERIES]
 
 
 def queries() -> dict:
@@ -263,4 +263,5 @@ def oracle_sql() -> dict[str, str]:
         **services.oracle_sql(),
         **records.oracle_sql(),
         **streams.oracle_sql(),
+        **reports.oracle_sql(),
     }
