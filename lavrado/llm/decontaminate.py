@@ -1,11 +1,13 @@
 """Benchmark decontamination: a hash set of normalised benchmark n-grams, sent out in blocks of a fixed bound.
 
 Plan: equal item texts are put together and their sizes summed first; the benchmark is cut into as many blocks
-as keep each within MOST_BYTES of text.  For each block one row-local pass over the texts adds the hits to the
-row, so no text is shuffled whatever the sizes are; with several blocks the rows are written between passes,
-so that a task holds one block's table.  A table is a few flat arrays (window hashes in order, the word each
-window starts at, the items' text and words), four to eight bytes for each byte of text: in a pass, the windows of
-a batch of texts are hashed and searched in it, and what is found is verified word by word.
+as keep each within MOST_BYTES of text.  One block is one row-local pass over the texts that adds the hits to the
+row.  With more blocks, a sieve of a fixed size that has the windows of all of them (a Bloom filter, which misses none)
+is sent out first: texts that can't have a window are done after that one pass and are written nowhere; only the others
+are written and meet one block after the other, so that a task holds one block's table.  No text is shuffled whatever
+the sizes are.  A table is a few flat arrays (window hashes in order, the word each window starts at, the items' text
+and words), four to eight bytes for each byte of text: in a pass, the windows of a batch of texts are hashed and
+searched in it, and what is found is verified word by word.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from .shared import documents, small_batches, staged, table, utf8
 
 #: Bytes of benchmark text that are sent out at once.
 MOST_BYTES = 8 << 20
+#: Bits of the sieve (64 MB), and how many each window sets.  With 100 MB of benchmark text, some 17 million windows, one
+#: in 10,000 other windows passes; with ten times as much one in five, so that most texts meet all blocks.
+SIEVE_BITS, SIEVE_HASHES = 1 << 29, 5
 _WORD = bytes(b if chr(b).isalnum() and b < 128 else b if b > 127 else 32 for b in range(256)).lower()
 _RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +120,38 @@ class Windows:
         return find
 
 
+class Sieve:
+    """Which windows may be a benchmark's: all that are, and few others."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.lengths, self.table = bits, set(), np.zeros(-(-bits // 8), dtype=np.uint8)
+
+    def _places(self, h: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        step = h ^ np.uint64(n)
+        for _ in range(SIEVE_HASHES):
+            step = (step + np.uint64(1)) * _STEP
+            step ^= step >> np.uint64(32)
+            yield (step % np.uint64(self.bits)).astype(np.int64)
+
+    def add(self, windows: Windows) -> None:
+        for n, (h, _) in windows.by_length.items():
+            self.lengths.add(n)
+            for at in self._places(h, n):
+                np.bitwise_or.at(self.table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def passed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' numbers of words, and which of them have a window that passes."""
+        data, starts, ends, owner = laid_out(texts)
+        out, each = np.zeros(len(texts), dtype=bool), hashing.spans(data, starts, ends)
+        for n in self.lengths:
+            h = hashed(each, n)
+            hit = owner[: len(h)] == owner[n - 1 :]
+            for at in self._places(h, n):
+                hit &= (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            out[owner[: len(h)][hit]] = True
+        return np.bincount(owner, minlength=len(texts)), out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -140,6 +177,20 @@ def _scan(windows) -> Callable:
     return run
 
 
+def _sifted(sieve, passed: bool) -> Callable:
+    """The rows whose texts pass the sieve, or the others; with their numbers of words."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            have, maybe = sieve.value.passed([x or b"" for x in utf8(batch.column("text"))])
+            counted = batch.set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(have, pa.int64()))
+            yield counted.filter(pa.array(maybe == passed))
+
+    return run
+
+
 def _marked(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", size: int = 13, most: int = MOST_BYTES) -> DataFrame:
     """text, row (df's other columns) and contamination."""
     spark = df.sparkSession
@@ -150,13 +201,23 @@ def _marked(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item
     total = items.agg(F.sum(F.length("t") + F.coalesce(F.length(F.array_join("i", "")), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-total // most))
     out = df.select(F.col(text).alias("text"), F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
+    block = lambda k: (items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else items).toArrow()  # about `most` bytes
+    built = lambda some: Windows(some.column("t").to_pylist(), some.column("i").to_pylist(), size)
+    done = None
+    if blocks > 1:
+        sieve = Sieve(SIEVE_BITS)
+        for k in range(blocks):
+            sieve.add(built(block(k)))
+        sent = spark.sparkContext.broadcast(sieve)
+        done = out.mapInArrow(_sifted(sent, False), out.schema)
+        out = staged(out.mapInArrow(_sifted(sent, True), out.schema), "sifted")
     for k in range(blocks):
-        some = (items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else items).toArrow()  # about `most` bytes
-        shared = spark.sparkContext.broadcast(Windows(some.column("t").to_pylist(), some.column("i").to_pylist(), size))
+        shared = spark.sparkContext.broadcast(built(block(k)))
         out = out.mapInArrow(_scan(shared), out.schema)
         if k + 1 < blocks:
             out = staged(out, "scanned")
             shared.destroy()
+    out = out if done is None else out.unionByName(done)
     signed = F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda n, x: n + x)
     found = out.withColumn("n_hit", hit)
@@ -174,9 +235,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
     spans: merged hit word places, start and end by turns; items: the ids, as sorted strings, of items of
     which a window occurs.  An item of fewer than `size` words, but not none, is one window.  Null and empty
     texts have no words, and items without words no windows; rows of one item_id are one item.  An item without
-    an id has its windows, which are hits, but no name in `items`.  `most` bounds the bytes of item text that a
-    task holds at once (one item longer than that is held as a whole).
-    Extra columns are kept as they are; a column named contamination is replaced.
+    an id has its windows, which are hits, but no name in `items`.  With several blocks df is read twice, so it has to give
+    the same rows both times.  `most` bounds the bytes of item text that a task holds at once (one item longer than that
+    is held as a whole).  Extra columns are kept as they are; a column named contamination is replaced.
     """
     keep = [c for c in df.columns if c != "contamination"]
     return _marked(df, benchmark, text, **options).select(*_own(keep, text), "contamination")

@@ -77,6 +77,29 @@ def test_decontaminate_against_every_window(spark, sf_dir):
     assert any(r[-1] for r in want)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 22])
+def test_decontaminate_by_many_blocks(spark, sf_dir, monkeypatch, bits):
+    """The whole table against a benchmark of several blocks, with a sieve that everything passes and one that little does."""
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    size = sum(len(r.text or "") for r in items.select("text").collect())
+    marked = decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), items, most=size // 5)
+    one = decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), items)
+    assert cases.table(marked.select("doc_id", "contamination.*")) == cases.table(one.select("doc_id", "contamination.*"))
+
+
+def test_the_sieve_misses_no_window():
+    draw = np.random.default_rng(9)
+    texts = [b" ".join(b"w%d" % k for k in draw.integers(0, 500, n)) for n in (0, 1, 5, 12, 13, 14, 60, 400)]
+    sieve = decontaminate.Sieve(1 << 16)
+    for some in (texts[:4], texts[4:]):
+        sieve.add(decontaminate.Windows(some, [["x"]] * len(some), 13))
+    other = [b" ".join(b"v%d" % k for k in draw.integers(0, 500, 60)) for _ in range(2000)]
+    have, passed = sieve.passed([*texts, *other, b"v " + texts[6][10:80] + b" v"])
+    assert have[:8].tolist() == [0, 1, 5, 12, 13, 14, 60, 400] and passed[:8].tolist() == [False] + [True] * 7
+    assert passed[8:-1].mean() < 0.02
+
+
 def test_decontaminate_odd_rows_and_blocks(spark):
     docs = cases.frame(spark)
     base = next(r[1] for r in cases.fixture_rows() if r[0] == 8)
