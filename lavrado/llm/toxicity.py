@@ -33,11 +33,25 @@ SHORT = 4
 KINDS = ("plain", "directed", "negated", "reported", "threat")
 WRITTEN = {z: k for k, z in enumerate("PDNRT")}
 
-# Fixed word lists, English, German, French and Spanish.
-HARM = frozenset(
-    "kill killing murder stab shoot strangle hurt harm destroy crush beat punish burn töten töte umbringen bringe erschlagen verletzen zerstören schlagen verprügeln verbrennen"
-    " tuer tuerai blesser détruire frapper frapperai étrangler brûler punir matar mataré mato herir destruir golpear golpearé pegar quemar castigar".split()
+#: How regular verbs are inflected: endings that are put to a stem.
+ENDINGS = {
+    "en": " s ed ing", "en_e": "e es ed ing", "de": "e st t en te test ten tet end", "de_t": "e est et en ete etest eten etet end",
+    "fr_er": "e es ons ez ent er é és ée ées ais ait aient erai eras era erons erez eront erais erait ant", "fr_ir": "is it ir i is ie irai iras ira irons irez iront issez issent issant",
+    "es_ar": "o as a amos áis an ar aste ó aron aba aban aré arás ará aremos arán aría ado ada ados adas ando", "es_e": "é e es emos en", "es_uir": "uyo uyes uye uimos uyen uir uí uyó uyeron uiré uirás uirá uiremos uirán uido uida uyendo uya",
+}
+# Fixed word lists, English, German, French and Spanish: stems of regular verbs of harm, and forms of the others.
+STEMS = {
+    "en": "kill murder harm destroy crush punish burn slaughter smash", "en_e": "strangl chok", "de": "verletz zerstör verprügel verbrenn erwürg", "de_t": "töt ermord", "fr_er": "tu bless frapp étrangl brûl assassin", "fr_ir": "pun",
+    "es_ar": "mat golpe peg quem castig estrangul asesin", "es_e": "mat golpe pegu quem castigu estrangul asesin", "es_uir": "destr",
+}
+OTHER_FORMS = (
+    "stab stabs stabbed stabbing shoot shoots shot shooting hurt hurts hurting beat beats beaten beating burnt"
+    " getötet verprügeln umbringen umbringe umbringst umbringt umgebracht bringe erschlagen erschlage erschlägt erschlug schlagen schlage schlägst schlägt schlug geschlagen verbrannt verbrannte"
+    " détruire détruis détruit détruisent détruirai détruira détruiront herir hiero hieres hiere herí hirió herido herida heriré herirá herirás"
 )
+# Forms that are everyday words of another of the languages.
+ELSEWHERE = frozenset(("tue", "mate", "mates"))
+HARM = (frozenset(f"{stem}{end}" for kind, stems_ in STEMS.items() for stem in stems_.split() for end in ENDINGS[kind].split(" ")) | frozenset(OTHER_FORMS.split())) - ELSEWHERE
 TARGET = frozenset("you your he she they him her them this these are du dich dir dein deine ihr euch er sie sind tu te toi ton ta vous votre il elle ils elles lui tú ti tu usted ustedes él ella ellos ellas lo la les son".split())
 NEGATION = frozenset("not never no nor neither nicht nie niemals kein keine keiner weder pas jamais aucun aucune nunca ni ningún ninguna jamás".split())
 SAYING = frozenset("said says say quoted quotes wrote writes claimed claims called calls sagte sagt sagten schrieb schreibt behauptet behauptete dit disait écrit affirme prétend dijo dice decía escribió afirma afirmó".split())

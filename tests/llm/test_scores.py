@@ -293,6 +293,20 @@ def test_clause_grammar():
     assert kinds("you " + "word " * 50 + "fool\nyou") == {"plain": 2}
 
 
+# Sentences that no list was written from.
+THREATS = ["he killed you", "they will be murdered by me, you", "ich schlage dich", "sie wurde ermordet, du bist der nächste", "je te frapperai", "nous vous brûlerons", "te golpearemos", "los quemaron, y a ti también", "i am going to be strangling him", "wir zerstören euch", "il sera puni, lui", "te destruirán"]
+
+
+@pytest.mark.parametrize("sentence", THREATS)
+def test_verbs_of_harm_in_other_forms(sentence):
+    assert toxicity.matches(sentence, {})[toxicity.KINDS.index("threat")] >= 1
+
+
+@pytest.mark.parametrize("sentence", ["ich tue das für dich", "my mate, you are late", "the material was found", "the candle burned all night", "la mesa es roja", "he was never killed"])
+def test_sentences_without_a_threat(sentence):
+    assert toxicity.matches(sentence, {})[toxicity.KINDS.index("threat")] == 0
+
+
 def test_sentences_by_themselves_are_like_a_whole_line(monkeypatch):
     draw = random.Random(6)
     words = ["fool", "kill", "you", "not", "said", "word", "other", ",", ":", ".", "!", "things"]
