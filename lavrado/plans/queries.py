@@ -116,7 +116,7 @@ def nfe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("00", "20", "60"))), (F.col("l_partkey") % 3).cast("int") + 1)
     tax = F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("<imposto><ICMS><ICMS"), kind, F.lit("><CST>"), kind, F.lit("</CST><vICMS>1,50</vICMS></ICMS"), kind, F.lit("></ICMS></imposto>"))).otherwise("")
     item = F.concat(F.lit('<det nItem="'), F.col("l_linenumber").cast("string"), F.lit('"><prod><cProd>'), F.col("l_partkey").cast("string"), F.lit("</cProd><qCom>"), F.col("l_quantity").cast("string"), F.lit("</qCom><vProd>"), F.expr("concat(cast(cents div 100 as string), '.', lpad(cast(cents % 100 as string), 2, '0'))"), F.lit("</vProd></prod>"), tax, F.lit("</det>"))
-    docs = t.withColumn("cents", cents).select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.concat(F.lit("<NFe><infNFe>"), F.array_join(F.array_sort(F.collect_list("item")), ""), F.lit("</infNFe></NFe>")).alias("content"))
+    docs = t.withColumn("cents", cents).select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.concat(F.lit("<NFe><infNFe>"), F.array_join(F.sort_array(F.collect_list("item")), ""), F.lit("</infNFe></NFe>")).alias("content"))
     x = xml_fiscal.parsed(docs).select("l_orderkey", F.explode("line_items").alias("x"))
     return x.select("l_orderkey", F.col("x.number").cast("long").alias("number"), "x.code", "x.quantity", "x.total_price", "x.cst", "x.icms_value")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lavrado.functions import dates, ids, money, text
-from lavrado.operators import abrasf, saopaulo
+from lavrado.operators import abrasf, saopaulo, xml_fiscal
 from lavrado.plans import services
 
 
@@ -57,3 +57,8 @@ def test_layouts_as_columns_and_as_expressions_agree(spark, sf_dir):
         both = layout.recorded(t, "r", "t", "u", F.lit(None)).withColumn("s", layout.parsed(F.col("t"), F.lit(None)))
         assert both.where("to_json(r) is distinct from to_json(s)").count() == 0
         assert both.where("r is not null").count() > 0
+
+
+def test_elements_that_several_fields_are_in_are_cut_out_once(said):
+    df = xml_fiscal.recorded(said, "t")
+    assert copies(df, "ide(?=[") == 1 and copies(df, "Valores(?=[") == 1
