@@ -29,14 +29,16 @@ def cents_text(c: Column) -> Column:
 
 
 def cents_payload(c: Column) -> Column:
-    """From strings of a payload: with both separators, points are always thousands."""
+    """From strings of a payload: with both separators, points are always thousands.  Half-even; null unless a plain
+    decimal number whose cents fit into 64 bits."""
+    return once(c, cents_payload_column)
 
-    def plain(x: Column) -> Column:
-        pointed = lambda y: F.replace(y, F.lit(","), F.lit("."))
-        return F.when(F.contains(x, F.lit(",")), pointed(F.when(F.contains(x, F.lit(".")), F.replace(x, F.lit("."), F.lit(""))).otherwise(x))).otherwise(x)
 
-    exact = lambda p: F.when(p.rlike(NUMBER), F.bround(p.try_cast("decimal(30,8)") * 100, 0).try_cast("long"))
-    return once(once(F.regexp_replace(c, "[^0-9,.-]", ""), plain), exact)  # a blank text has no digit, so it is no number
+def cents_payload_column(c: Column) -> Column:
+    """cents_payload of a column that is there: without a lambda, so it is compiled, but c is read several times."""
+    kept = lambda mark: F.regexp_replace(c, f"[^0-9{mark}-]", "")
+    plain = F.when(F.contains(c, F.lit(",")), F.replace(kept(","), F.lit(","), F.lit("."))).otherwise(kept("."))
+    return F.when(c.rlike("[0-9]"), F.bround(plain.try_cast("decimal(30,8)") * 100, 0).try_cast("long"))  # of digits, points and - a number is what casts
 
 
 def cents_number(c: Column) -> Column:
@@ -74,4 +76,22 @@ def cents_variant_sql(x: str) -> str:
 def cents_variant(v: Column) -> Column:
     """From a value of a JSON payload: whole numbers (and booleans) are cents already, other numbers are reais,
     strings are read as cents_payload reads them; anything else is null."""
-    return F.call_function("transform", F.array(v), F.expr(_variant_sql()))[0]
+    return once(v, cents_field)
+
+
+def cents_field(v: Column) -> Column:
+    """cents_variant of what is cheap to read, such as a bound struct's field: kind and text are told once, and only of what is there."""
+    given = lambda kind: F.when(kind == "STRING", once(F.try_variant_get(v, "$", "string"), cents_payload_column)).otherwise(_cents_of_number(v, kind))
+    return F.when(v.isNotNull(), once(F.schema_of_variant(v), given))
+
+
+def cents_field_column(v: Column) -> Column:
+    """cents_field of a column's field: but for texts without a lambda, so it is compiled, and the kind is told several times."""
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNotNull(), F.when(kind == "STRING", once(F.try_variant_get(v, "$", "string"), cents_payload_column)).otherwise(_cents_of_number(v, kind)))
+
+
+def _cents_of_number(v: Column, kind: Column) -> Column:
+    """Of a value of a payload that is no string; kind: its schema_of_variant()."""
+    real = F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT")
+    return F.when(kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(v, "$", "bigint")).when(real, cents_number(F.try_variant_get(v, "$", "double")))

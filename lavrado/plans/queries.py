@@ -36,7 +36,7 @@ def money_text_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def money_payload_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _literals(spark, sf_dir)
-    return t.select("l_orderkey", "l_linenumber", *[money.cents_payload(F.col(c)).alias(c) for c in ("br", "us", "bare")])
+    return t.select("l_orderkey", "l_linenumber", *[money.cents_payload_column(F.col(c)).alias(c) for c in ("br", "us", "bare")])
 
 
 def money_literal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

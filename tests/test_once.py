@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lavrado.functions import dates, ids, money, text
-from lavrado.operators import abrasf, saopaulo, xml_fiscal
-from lavrado.plans import services
+from lavrado.operators import abrasf, json_payload, saopaulo, xml_fiscal
+from lavrado.plans import queries, services
 
 
 def copies(df, what):
@@ -62,3 +62,10 @@ def test_layouts_as_columns_and_as_expressions_agree(spark, sf_dir):
 def test_elements_that_several_fields_are_in_are_cut_out_once(said):
     df = xml_fiscal.recorded(said, "t")
     assert copies(df, "ide(?=[") == 1 and copies(df, "Valores(?=[") == 1
+
+
+def test_payload_cents_are_compiled(spark, sf_dir):
+    assert "lambda" not in queries.money_payload_cents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    said_ = spark.createDataFrame([(x,) for x in ("1.234,5", "1,234.56", "1,2,3", "1.2.3", "-", ",", "", "x1e5", "--7", "9" * 40, " - 3,005", ".5", "7.", None)], "t string")
+    got = [r.x for r in said_.select(money.cents_payload_column(F.col("t")).alias("x")).collect()]
+    assert got == [123450, 123, None, None, None, None, None, 1500, None, None, -300, 50, 700, None]
