@@ -69,3 +69,16 @@ def test_payload_cents_are_compiled(spark, sf_dir):
     said_ = spark.createDataFrame([(x,) for x in ("1.234,5", "1,234.56", "1,2,3", "1.2.3", "-", ",", "", "x1e5", "--7", "9" * 40, " - 3,005", ".5", "7.", None)], "t string")
     got = [r.x for r in said_.select(money.cents_payload_column(F.col("t")).alias("x")).collect()]
     assert got == [123450, 123, None, None, None, None, None, 1500, None, None, -300, 50, 700, None]
+
+
+ODD = ["{}", "[1]", "7", "null", "{", None, '{"subtotal": "1e5", "pis_value": "", "icms_value": " - ", "payment": null, "iss_value": [1], "cofins_value": {"a": 1}}',
+       '{"subtotal": true, "pis_value": 1e3, "total_services": "1.234,565", "line_items": [null, 7, {"discount": "x"}, {"discount": 1.005}], "payment": {"total_amount": -7.255}, "fiscal_info": {"approximate_taxes": "1.2.3"}, "taxes": [{"base": "(3,10)"}], "withholdings": {}}']
+
+
+def test_amounts_by_projections_are_those_of_the_expression(spark, sf_dir):
+    df = spark.createDataFrame([(x,) for x in ODD], "p string")
+    v = F.try_parse_json("p")
+    rows = json_payload.with_amounts(df.withColumn("b", json_payload.amounts(v)), "a", v).collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a.subtotal is not None for r in rows) == 2
+    plan = services.money_variant_cents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "RepartitionByExpression" in plan
