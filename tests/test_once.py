@@ -82,3 +82,28 @@ def test_amounts_by_projections_are_those_of_the_expression(spark, sf_dir):
     assert all(r.a == r.b for r in rows) and sum(r.a.subtotal is not None for r in rows) == 2
     plan = services.money_variant_cents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "RepartitionByExpression" in plan
+
+
+# Told once a text whether its lines need a search by pattern: what comes out is the same.
+@pytest.mark.parametrize("said_,plain", [("a\n\nb c\n", True), (" a\nb ", True), ("a \nb", False), ("a\n b", False), ("a\r\nb", False), ("a b", False), ("a\u0085b", False), ("a b", False), ("", True), ("ç–\nº", True)])
+def test_lines_of_tidy_texts(spark, said_, plain):
+    t = F.lit(said_)
+    row = spark.range(1).select(text.tidy(t).alias("p"), text.tidy(t, text.usual_only(t)).alias("q"), text.full_lines(t).alias("x"), text.full_lines(t, text.tidy(t)).alias("y"), text.lines(t, text.tidy(t)).alias("z")).first()
+    assert (row.p, row.q) == (plain, plain)
+    assert row.x == row.y == [x.strip() for x in said_.splitlines() if x.strip()] and row.z == said_.splitlines()
+
+
+@pytest.mark.parametrize("said_", ["Nº  5 ção", "a  é", "a ´ b", "a – b", "½  x", "a\t b", "´", "  é  "])
+def test_a_squeezed_text_is_folded_by_way_of_the_whole(spark, said_):
+    t = F.lit(said_)
+    seen = text.squeezed_usual(t, text.usual_only(t), text.squeezed(t))
+    row = spark.range(1).select(text.folded_usual(seen).alias("x"), text.folded(text.squeezed(t)).alias("y")).first()
+    assert row.x == row.y
+
+
+# The first line with a postal code is the street, a line of letters below it the city, the first number the ie.
+def test_a_party_of_sao_paulo_is_what_comes_first(spark):
+    block = "PRESTADOR\nAlto Bairro\nCNPJ:\n12-34\n7.777\n12345678000195\nCasa Exemplo  LTDA\nRUA A 5 - CEP 01999-111\nRUA B 6 - CEP 01999-222\nUF: XX\nSP\nUF: PR\nCampinas\nMunicípio: São Paulo"
+    row = spark.createDataFrame([(block,)], "b string").select(saopaulo._party(F.col("b"), F.lit(True)).alias("p")).first().p
+    assert (row.document, row.ie, row.name) == ("12.345.678/0001-95", "12-34", "Alto Bairro")
+    assert (row.address.street, row.address.city, row.address.state) == ("RUA A", "Campinas", "SP")
